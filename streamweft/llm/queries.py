@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup
 from .packing import pack_documents
 from .token_counts import length_histogram
 from .token_files import token_file_round_trip
@@ -27,13 +28,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(_documents(spark, sf_dir))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup_groups(_documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_token_counts, op6_token_files)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_token_counts, op5_exact_dedup, op6_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": exact_dedup.SQL}

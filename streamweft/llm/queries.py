@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup
 from .packing import pack_documents
+from .substring_dedup import substring_dedup_digests
 from .token_counts import length_histogram
 from .token_files import token_file_round_trip
 
@@ -36,8 +37,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(_documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup_digests(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_token_counts, op5_exact_dedup, op6_token_files)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_token_counts, op5_exact_dedup, op6_token_files, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

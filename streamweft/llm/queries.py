@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup_digests
@@ -42,13 +43,18 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(_documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dropped_lines(_documents(spark, sf_dir))
+    return rows.withColumn("dropped", F.array_join("dropped", ","))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup_digests(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_counts, op5_exact_dedup, op6_token_files, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_counts, op5_exact_dedup, op6_token_files, op8_line_dedup, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL}
+    return {"op5_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup, line_dedup
 from .packing import pack_documents
+from .quality import classify_quality
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup_digests
 from .token_counts import length_histogram
@@ -43,6 +44,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(_documents(spark, sf_dir))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dropped_lines(_documents(spark, sf_dir))
     return rows.withColumn("dropped", F.array_join("dropped", ","))
@@ -53,7 +58,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_counts, op5_exact_dedup, op6_token_files, op8_line_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_counts, op5_exact_dedup, op6_token_files, op7_quality_classifier, op8_line_dedup, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

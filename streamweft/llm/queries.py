@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, line_dedup
+from .media import media_round_trip
 from .packing import pack_documents
 from .quality import classify_quality
 from .simhash import near_duplicates
@@ -57,8 +58,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup_digests(_documents(spark, sf_dir))
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_round_trip(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_counts, op5_exact_dedup, op6_token_files, op7_quality_classifier, op8_line_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_counts, op5_exact_dedup, op6_token_files, op7_quality_classifier, op8_line_dedup, op9_substring_dedup, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:

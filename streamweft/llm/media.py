@@ -75,7 +75,7 @@ def media_features(df: DataFrame, media: str = "media", columns: tuple[str, ...]
     ``media``; all three are null where it is null or can't be decoded."""
     names = [f"c{i}" for i in range(len(columns))]
     rows = df.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), F.col(media).alias("media"))
-    schema = rows.drop("media").withColumns({"width": F.lit(0), "height": F.lit(0), "thumbnail_hash": F.lit("")}).schema
+    schema = rows.drop("media").withColumns({"width": F.lit(None).cast("int"), "height": F.lit(None).cast("int"), "thumbnail_hash": F.lit(None).cast("string")}).schema
 
     def one(data: bytes | None) -> tuple[int | None, int | None, str | None]:
         try:

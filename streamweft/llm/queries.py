@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup, line_dedup
 from .media import media_round_trip
+from .mixing import mixing_rates
 from .packing import pack_documents
 from .quality import classify_quality
 from .simhash import near_duplicates
@@ -37,6 +38,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(_documents(spark, sf_dir))
 
 
+def op4_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup_groups(_documents(spark, sf_dir))
 
@@ -63,7 +68,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_counts, op5_exact_dedup, op6_token_files, op7_quality_classifier, op8_line_dedup, op9_substring_dedup, op10_media_columns)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_token_counts, op4_mixing_to_targets, op5_exact_dedup, op6_token_files, op7_quality_classifier, op8_line_dedup, op9_substring_dedup, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:

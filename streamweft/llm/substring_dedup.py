@@ -8,7 +8,7 @@ equal anchors.  So
 1. one row an anchor (about an eighth of the words) is grouped by its hash;
    a stretch whose anchor is unique in the corpus holds no repeated window,
 2. only the windows of the other stretches become edges, grouped by a 64-bit
-   window hash and verified by an independent one; all but the first occurrence
+   window hash and verified by 32 bits of an independent one; all but the first occurrence
    (document id, then start) are repeats,
 3. the repeats come back to their document by its coordinates, join up to long
    spans, and the words that a span covers go.
@@ -92,7 +92,7 @@ def _long(a: np.ndarray) -> pa.Array:
 
 
 def _anchor_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(part, anchor, id, tie, pos, kind): unique anchors of a batch and one witness of each
+    """(anchor, id, tie, pos, kind): unique anchors of a batch and one witness of each
     repeated one, to be grouped by anchor; the occurrences of repeated ones are settled."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +114,12 @@ def _anchor_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
             n = int((~again | first).sum())
             kind[:n] = np.where(again[use[:n]], _WITNESS, _SINGLE)
             ids, ties = batch.column("id").to_numpy()[d[use]], batch.column("tie").to_numpy()[d[use]]
-            part = v[use].view(np.int64).copy()
-            part[n:] = ids[n:]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part), _long(v[use]), pa.array(ids), pa.array(ties), pa.array(p[use].astype(np.int32)), pa.array(kind)],
-                names=["part", "anchor", "id", "tie", "pos", "kind"],
+                [_long(v[use]), pa.array(ids), pa.array(ties), pa.array(p[use].astype(np.int32)), pa.array(kind)],
+                names=["anchor", "id", "tie", "pos", "kind"],
             )
 
-    return texts.mapInArrow(rows, "part long, anchor long, id long, tie int, pos int, kind byte")
+    return texts.mapInArrow(rows, "anchor long, id long, tie int, pos int, kind byte")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -152,12 +150,13 @@ def _shared(rows: DataFrame) -> DataFrame:
         if held is not None and matched and held.column("kind")[0].as_py() == _SINGLE:
             yield held.select(names)
 
-    sorted_ = rows.repartition("part").sortWithinPartitions("anchor").select("anchor", "id", "tie", "pos", "kind")
-    return sorted_.mapInArrow(keep, "id long, tie int, pos int")
+    # settled rows go anywhere: by document
+    part = F.when(F.col("kind") == _SETTLED, F.col("id")).otherwise(F.col("anchor"))
+    return rows.repartition(part).sortWithinPartitions("anchor").mapInArrow(keep, "id long, tie int, pos int")
 
 
 def _edge_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(part, edge, check, id, tie, start, n): windows of the shared stretches.  n is 0 for
+    """(edge, check, id, tie, start, n): windows of the shared stretches.  n is 0 for
     the first of its kind in a batch, else a run of n windows that repeat within the batch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,16 +190,15 @@ def _edge_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
             use = np.concatenate([np.flatnonzero(first), head])
             n = np.zeros(len(use), np.int32)
             n[len(use) - len(head) :] = runs
-            part = np.where(n > 0, ids[d[use]], edge[use].view(np.int64))
             blank = n > 0
-            edge, check = edge[use], check[use]
+            edge, check = edge[use], (check[use] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             edge[blank] = check[blank] = 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part), _long(edge), _long(check), pa.array(ids[d[use]]), pa.array(ties[d[use]]), pa.array(start[use].astype(np.int32)), pa.array(n)],
-                names=["part", "edge", "check", "id", "tie", "start", "n"],
+                [_long(edge), pa.array(check), pa.array(ids[d[use]]), pa.array(ties[d[use]]), pa.array(start[use].astype(np.int32)), pa.array(n)],
+                names=["edge", "check", "id", "tie", "start", "n"],
             )
 
-    return texts.mapInArrow(rows, "part long, edge long, check long, id long, tie int, start int, n int")
+    return texts.mapInArrow(rows, "edge long, check int, id long, tie int, start int, n int")
 
 
 def _repeats(rows: DataFrame) -> DataFrame:
@@ -225,7 +223,8 @@ def _repeats(rows: DataFrame) -> DataFrame:
             yield out.filter(pa.array(n > 0))
 
     order = ["edge", "check", "id", "tie", "start"]
-    return rows.repartition("part").sortWithinPartitions(*order).select(*order, "n").mapInArrow(keep, "id long, tie int, start int, n int")
+    part = F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("edge"))
+    return rows.repartition(part).sortWithinPartitions(*order).mapInArrow(keep, "id long, tie int, start int, n int")
 
 
 def repeated_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = ANCHOR) -> DataFrame:

@@ -126,7 +126,7 @@ def curl_at(points: DataFrame, field: FlowField, key: str = "point_id") -> DataF
 
 
 def vortex_metrics(df: DataFrame) -> DataFrame:
-    """``df`` (with j00..j22) and q, delta, lambda2, gamma2; gamma2 is null without strain.
+    """``df`` (with j00..j22) and q, delta, lambda2, gamma2; gamma2 is null without strain (below 1e-12).
 
     S and R are the gradient's symmetric and antisymmetric parts, M = S S + R R:
     q = -trace(M) / 2, delta = (q / 3)**3 + (det J / 2)**2, lambda2 the middle
@@ -142,7 +142,7 @@ def vortex_metrics(df: DataFrame) -> DataFrame:
     strain = symmetric_eigenvalues(s)[0]
     return df.withColumns({
         "q": q, "delta": third * third * third + half * half, "lambda2": symmetric_eigenvalues(m)[1],
-        "gamma2": F.when(F.abs(strain) > 0, F.abs(spin / strain)),
+        "gamma2": F.when(F.abs(strain) > 1e-12, F.abs(spin / strain)),
     })
 
 

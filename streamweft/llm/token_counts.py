@@ -7,6 +7,7 @@ document is cut at L.  ``truncated_total`` and ``quantile`` read the table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,13 +58,13 @@ def length_histogram(df: DataFrame, text: str = "text", tokenizer: str | None =
     )
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("n_tokens").alias("bt"))
     blocks = blocks.select("block", F.coalesce(F.sum("bd").over(above), F.lit(0)).alias("ad"), F.coalesce(F.sum("bt").over(above), F.lit(0)).alias("at"))
-    total = hist.agg(F.sum("n_tokens").alias("total"))
-    out = inner.join(blocks, "block").join(F.broadcast(total))
+    total = F.lit(hist.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+    out = inner.join(blocks, "block")
     docs, tokens = F.col("d") + F.col("ad"), F.col("t") + F.col("at")
     return out.select(
         "length", "n_docs", "n_tokens",
         docs.alias("docs_at_least"), tokens.alias("tokens_at_least"),
-        (F.col("total") - tokens + docs * F.col("length")).alias("truncated_total"),
+        (total - tokens + docs * F.col("length")).alias("truncated_total"),
     )
 
 
@@ -74,6 +75,6 @@ def truncated_total(hist: DataFrame, limit: int) -> DataFrame:
 
 def quantile(hist: DataFrame, q: float) -> DataFrame:
     """One row: the smallest length that at least a share ``q`` of documents doesn't exceed (null for an empty table)."""
-    n = hist.agg(F.max("docs_at_least").alias("n"))
-    below = F.col("n") - F.col("docs_at_least") + F.col("n_docs")
-    return hist.join(F.broadcast(n)).where(below >= F.ceil(F.col("n") * q)).agg(F.min("length").alias("length"))
+    n = hist.agg(F.coalesce(F.max("docs_at_least"), F.lit(0))).first()[0]
+    below = F.lit(n) - F.col("docs_at_least") + F.col("n_docs")
+    return hist.where(below >= F.lit(math.ceil(n * q))).agg(F.min("length").alias("length"))

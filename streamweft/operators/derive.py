@@ -20,10 +20,10 @@ _V = ("u", "v", "w")
 
 def with_neighbours(field: FlowField, columns: tuple[str, ...] = _V) -> DataFrame:
     """Nodes with ``<column>_<axis>m`` and ``..p``: the values before and after on each axis, null at faces."""
-    df = field.nodes
-    for axis, layout, others in (("i", ("t", "k"), ("t", "k", "j")), ("j", ("t", "k"), ("t", "k", "i")), ("k", ("t", "j"), ("t", "j", "i"))):
-        if axis != "j":
-            df = df.repartition(*layout)
+    df, time = field.nodes, ("t",) if field.time_varying else ()
+    for axis, layout, others in (("i", "k", ("t", "k", "j")), ("j", "k", ("t", "k", "i")), ("k", "j", ("t", "j", "i"))):
+        if axis != "j":  # a constant t drops out of a window's keys, so it must not be a key of the layout
+            df = df.repartition(*time, layout)
         w = Window.partitionBy(*others).orderBy(axis)
         df = df.select("*", *(f(c).over(w).alias(f"{c}_{axis}{s}") for c in columns for f, s in ((F.lag, "m"), (F.lead, "p"))))
     return df

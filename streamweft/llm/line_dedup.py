@@ -62,13 +62,35 @@ def _segment_rows(threshold: int) -> Column:
     return F.array_compact(F.array(*rows))
 
 
+def _common(a: Column, b: Column, most: Column, at_end: bool) -> Column:
+    """Bytes, at most ``most``, that two binaries share at their start or end: halving steps over
+    built-in comparisons.  Beyond 2**21 bytes the rest is left to the caller."""
+
+    def longer(p: Column, s: Column) -> Column:
+        first = (lambda x: F.octet_length(x) - p - s + 1) if at_end else (lambda x: p + 1)
+        return F.when((p + s <= most) & (F.substring(a, first(a), s) == F.substring(b, first(b), s)), p + s).otherwise(p)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(20, -1, -1))), F.lit(0), longer)
+
+
+def trimmed(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``df`` with binary columns ``a`` and ``b`` without their common start and end, which no
+    optimal alignment edits."""
+    short = F.least(F.octet_length(a), F.octet_length(b))
+    df = df.withColumn("__head", _common(F.col(a), F.col(b), short, False))
+    df = df.withColumn("__tail", _common(F.col(a), F.col(b), short - F.col("__head"), True))
+    cut = lambda c: F.substring(F.col(c), F.col("__head") + 1, F.octet_length(c) - F.col("__head") - F.col("__tail"))
+    return df.withColumns({a: cut(a), b: cut(b)}).drop("__head", "__tail")
+
+
 def within_edits(a: str, b: str, threshold: int) -> Column:
     """Whether binary columns ``a`` and ``b`` are at most ``threshold`` edits apart.
 
     After j bytes of b, bit i of word e says that the first j + i - threshold
     bytes of a are at most e edits from them.  A column takes matches (and with
     the match mask), replacements (as is), insertions (shift right) and
-    deletions (shift left) of the word of one edit less.
+    deletions (shift left) of the word of one edit less.  Once no bit is left
+    the other columns are passed over.
     """
     k = threshold
     band = (1 << (2 * k + 1)) - 1
@@ -83,17 +105,24 @@ def within_edits(a: str, b: str, threshold: int) -> Column:
             same = (at >= 1) & (at <= m) & (F.substring(F.col(a), at, F.lit(1)) == byte)
             match = match.bitwiseOR(F.when(same, long_(1 << i)).otherwise(long_(0)))
         old = [state[f"e{e}"] for e in range(k + 1)]
-        new = [old[0].bitwiseAND(match)]
-        for e in range(1, k + 1):
-            less = old[e - 1].bitwiseOR(F.shiftright(old[e - 1], 1)).bitwiseOR(F.shiftleft(new[e - 1], 1))
-            new.append(old[e].bitwiseAND(match).bitwiseOR(less).bitwiseAND(long_(band)))
-        return F.struct(*(x.alias(f"e{e}") for e, x in enumerate(new)))
+        # each word is an element of the array that the inner fold builds, so none is computed twice
+        def more(done: Column, e: Column) -> Column:
+            above = F.element_at(done, -1)
+            own = F.get(F.array(*old), e)
+            less = F.get(F.array(*old), e - 1)
+            taken = own.bitwiseAND(done[0]).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(above, 1)).bitwiseAND(long_(band))
+            return F.concat(done, F.array(taken))
+
+        first = F.array(match)
+        seeded = F.transform(first, lambda x: F.array(x, x.bitwiseAND(old[0])))[0]
+        words = F.aggregate(F.sequence(F.lit(1), F.lit(k)), seeded, more) if k else seeded
+        return F.transform(F.array(words), lambda w: F.struct(*(F.get(w, F.lit(e + 1)).alias(f"e{e}") for e in range(k + 1))))[0]
 
     start = F.struct(*(long_(sum(1 << i for i in range(k, k + e + 1))).alias(f"e{e}") for e in range(k + 1)))
     columns = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    last = F.aggregate(columns, start, step, lambda s: s[f"e{k}"])
+    fold = F.aggregate(columns, start, lambda s, j: F.when(s[f"e{k}"] == 0, s).otherwise(step(s, j)), lambda s: s[f"e{k}"])
     corner = (m - n + F.lit(k)).cast("int")
-    return (F.abs(m - n) <= k) & (F.call_function("shiftright", last, corner).bitwiseAND(long_(1)) == 1)
+    return (F.abs(m - n) <= k) & (F.call_function("shiftright", fold, corner).bitwiseAND(long_(1)) == 1)
 
 
 def _keys(df: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
@@ -133,7 +162,11 @@ def _near(distinct: DataFrame, threshold: int) -> DataFrame:
     left = lines.select(F.col("lid").alias("a"), F.col("first").alias("first_a"), F.col("bytes").alias("bytes_a"))
     right = lines.select(F.col("lid").alias("b"), F.col("first").alias("first_b"), F.col("bytes").alias("bytes_b"))
     both = pairs.join(left, "a").join(right, "b").where(F.abs(F.octet_length("bytes_a") - F.octet_length("bytes_b")) <= threshold)
-    near = both.where(within_edits("bytes_a", "bytes_b", threshold))
+    # few bytes but much work a pair: spread over all tasks, which adaptive coalescing would not;
+    # written first, so that the distance reads trimmed bytes and doesn't trim anew at each use
+    both = both.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    near = materialise(trimmed(both, "bytes_a", "bytes_b"), "trimmed-pairs")
+    near = near.where(within_edits("bytes_a", "bytes_b", threshold))
     return near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("lid")).distinct()
 
 

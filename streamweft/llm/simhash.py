@@ -5,7 +5,9 @@ five-word shingles' hash bits.  Two documents are linked when their signatures
 differ in at most the share of bits that shingle similarity (Jaccard) 0.8
 stands for; a class is a connected component of links.
 
-Each of ``tables`` tables reads signatures in its own random order of
+The number of tables follows from the sampled bits, so that the share of pairs at
+the limit that meet in none stays under ``MISS`` at every size (``table_plan``).
+Each table reads signatures in its own random order of
 coordinates.  The first ``sampled`` of them name the bucket; the further ones
 follow in the same 63-bit key.  Rows are range-partitioned and sorted by (table,
 key), so a bucket of any size is cut by its additional bits, both between tasks
@@ -32,7 +34,10 @@ from .words import Words, mix64, slices, split_words
 SHINGLE = 5
 SIMILARITY = 0.8
 BITS = 512
-TABLES = 40
+#: At most this share of the pairs at the distance limit shares no bucket, whatever the size of the table.
+MISS = 0.01
+#: Texts in a bucket, on average, at most.
+MEAN = 512
 CAP = 2048
 #: A word sequence of more than 1 / HOT of all rows is joined by broadcast.
 HOT = 2000
@@ -45,6 +50,14 @@ def distance_limit(similarity: float, bits: int = BITS) -> int:
     return round(bits * math.acos(cosine) / math.pi)
 
 
+def table_plan(texts: int, limit: int, bits: int = BITS, miss: float = MISS) -> tuple[int, int]:
+    """Sampled bits for ``texts`` texts, and the number of tables in which all but ``miss`` of
+    the pairs that differ in ``limit`` bits share a bucket at least once."""
+    sampled = max(8, math.ceil(math.log2(max(2, texts) / MEAN)))
+    once = math.comb(bits - limit, sampled) / math.comb(bits, sampled)
+    return sampled, 1 if once == 1 else math.ceil(math.log(miss) / math.log1p(-once))
+
+
 def shingle_hashes(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes by document, and the n+1 offsets; a document of fewer than
     ``size`` words has one shingle, one without words none."""
@@ -241,7 +254,7 @@ def _links(rows: DataFrame, sampled: int, limit: int, cap: int) -> DataFrame:
     return parted.mapInArrow(link, "a long, b long").distinct()
 
 
-def _classes(df: DataFrame, doc_id: str, text: str, similarity: float, bits: int, tables: int, cap: int) -> DataFrame:
+def _classes(df: DataFrame, doc_id: str, text: str, similarity: float, bits: int, tables: int | None, cap: int) -> DataFrame:
     """(doc_id, tie, component, class_id) of every row."""
     signed = materialise(signature_table(df, doc_id, text, bits), "signatures")
     texts = signed.groupBy("words").agg(F.min("doc_id").alias("first"), F.min("signature").alias("signature"))
@@ -249,8 +262,9 @@ def _classes(df: DataFrame, doc_id: str, text: str, similarity: float, bits: int
     shared = texts.where("first IS NOT NULL").groupBy("first").count().where("count > 1").select("first", F.lit(True).alias("shared"))
     own = F.when(F.col("shared") | F.col("first").isNull(), F.xxhash64("words")).otherwise(F.col("first"))
     texts = materialise(texts.join(shared, "first", "left").select("words", "first", "signature", own.alias("id")), "signed-texts")
-    sampled = max(8, math.ceil(math.log2(max(2, texts.count()))))
-    classes = connected_components(_links(_keyed(texts, tables, bits), sampled, distance_limit(similarity, bits), cap))
+    limit = distance_limit(similarity, bits)
+    sampled, enough = table_plan(texts.count(), limit, bits)
+    classes = connected_components(_links(_keyed(texts, tables or enough, bits), sampled, limit, cap))
     named = texts.join(classes, F.col("id") == F.col("node"), "left").select("words", "first", F.coalesce("component", "id").alias("component"))
     best = named.groupBy("component").agg(F.min("first").alias("class_id"))
     named = materialise(named.join(best, "component").select("words", "component", "class_id"), "classes")
@@ -264,7 +278,7 @@ def _classes(df: DataFrame, doc_id: str, text: str, similarity: float, bits: int
 
 
 def near_duplicates(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bits: int = BITS, tables: int = TABLES, cap: int = CAP
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bits: int = BITS, tables: int | None = None, cap: int = CAP
 ) -> DataFrame:
     """One row per row of ``df``: doc_id, class_id (the smallest doc_id of its class), kept.
 
@@ -280,7 +294,7 @@ def near_duplicates(
 
 
 def near_dedup(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bits: int = BITS, tables: int = TABLES, cap: int = CAP
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bits: int = BITS, tables: int | None = None, cap: int = CAP
 ) -> DataFrame:
     """The rows of ``df`` that stay, one of each class, with all their columns: the smallest
     doc_id, and of several rows with that id the one whose text comes first in hash order."""

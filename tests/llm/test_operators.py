@@ -156,6 +156,14 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("texts", [2, 10_000, 220_000, 2_000_000, 13_000_000, 100_000_000])
+def test_near_pairs_meet_at_every_size(texts):
+    limit = simhash.distance_limit(simhash.SIMILARITY)
+    sampled, tables = simhash.table_plan(texts, limit)
+    once = np.prod([(simhash.BITS - limit - k) / (simhash.BITS - k) for k in range(sampled)])
+    assert (1 - once) ** tables <= simhash.MISS and texts / 2**sampled <= simhash.MEAN
+
+
 def test_link_group_finds_whole_components():
     rng = np.random.default_rng(2)
     sig = rng.integers(0, 1 << 63, (6, 8)).astype(np.uint64)

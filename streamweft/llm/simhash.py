@@ -7,13 +7,12 @@ stands for; a class is a connected component of links.
 
 The number of tables follows from the sampled bits, so that the share of pairs at
 the limit that meet in none stays under ``MISS`` at every size (``table_plan``).
-Each table reads signatures in its own random order of
-coordinates.  The first ``sampled`` of them name the bucket; the further ones
-follow in the same 63-bit key.  Rows are range-partitioned and sorted by (table,
-key), so a bucket of any size is cut by its additional bits, both between tasks
-and, above ``CAP`` rows, within one: sub-buckets are compared whole, and one
-member of each class found is carried on to the bucket's next sub-bucket.
-Within a bucket a document is compared with classes' unvisited members only, so
+Each table samples its own coordinates, which name a signature's bucket.
+All pairs of a bucket are compared, but for pairs known to be of one class: a
+bucket of up to ``CAP`` rows whole; a larger one in random blocks first, and
+then, when the links so far have made classes, all members outside its most
+frequent class with all its members, block by block.
+Within a block a document is compared with classes' unvisited members only, so
 neither pairs nor edges grow as the square of a group of copies.
 """
 
@@ -38,10 +37,11 @@ BITS = 512
 MISS = 0.01
 #: Texts in a bucket, on average, at most.
 MEAN = 512
+#: Rows of a block; a bucket of more is compared block by block.
 CAP = 2048
 #: A word sequence of more than 1 / HOT of all rows is joined by broadcast.
 HOT = 2000
-_KEY = 63
+_ROWS, _PIVOTS = 32, 32
 
 
 def distance_limit(similarity: float, bits: int = BITS) -> int:
@@ -139,119 +139,198 @@ def signature_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     return rows.mapInArrow(sign, "doc_id long, tie long, words binary, signature binary")
 
 
-def _orders(tables: int, bits: int) -> np.ndarray:
+def _orders(tables: int, bits: int, sampled: int) -> np.ndarray:
     rng = np.random.default_rng(20240601)
-    return np.stack([rng.permutation(bits)[:_KEY] for _ in range(tables)])
+    return np.stack([rng.permutation(bits)[:sampled] for _ in range(tables)])
 
 
-def _keyed(signed: DataFrame, tables: int, bits: int) -> DataFrame:
-    """Every signature once a table: (table, key, id, signature)."""
-    orders = _orders(tables, bits)
+def _buckets(signature: pa.Array, orders: np.ndarray) -> Iterator[np.ndarray]:
+    """The buckets of packed signatures, a table at a time."""
+    place = np.int64(1) << np.arange(orders.shape[1] - 1, -1, -1, dtype=np.int64)
+    sig = np.frombuffer(b"".join(signature.to_pylist()), np.uint8).reshape(len(signature), -1)
+    ones = np.unpackbits(sig, axis=1)
+    for order in orders:
+        yield ones[:, order] @ place
+
+
+def _keyed(signed: DataFrame, tables: int, bits: int, sampled: int) -> DataFrame:
+    """Every signature once a table: (table, bucket, id, signature)."""
+    orders = _orders(tables, bits, sampled)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.uint64(1) << np.arange(_KEY - 1, -1, -1, dtype=np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            ones = np.unpackbits(sig, axis=1)
-            for t in range(tables):
-                key = (ones[:, orders[t]] * place).sum(1, dtype=np.uint64)
+            for t, bucket in enumerate(_buckets(batch.column("signature"), orders)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), t, np.int16)), pa.array(key.astype(np.int64)), batch.column("id"), batch.column("signature")],
-                    names=["table", "key", "id", "signature"],
+                    [pa.array(np.full(len(bucket), t, np.int16)), pa.array(bucket), batch.column("id"), batch.column("signature")],
+                    names=["table", "bucket", "id", "signature"],
                 )
 
-    return signed.select("id", "signature").mapInArrow(spread, "table short, key long, id long, signature binary")
+    return signed.select("id", "signature").mapInArrow(spread, "table short, bucket long, id long, signature binary")
+
+
+def _large(signed: DataFrame, tables: int, bits: int, sampled: int, cap: int) -> DataFrame:
+    """(table, bucket, n) of the buckets of more than ``cap`` signatures, counted by batch first."""
+    orders = _orders(tables, bits, sampled)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for t, bucket in enumerate(_buckets(batch.column("signature"), orders)):
+                value, n = np.unique(bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), t, np.int16)), pa.array(value), pa.array(n)], names=["table", "bucket", "n"])
 
+    counted = signed.select("signature").mapInArrow(count, "table short, bucket long, n long")
+    return counted.groupBy("table", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > cap)
 
-def _near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32) <= limit
+
+def _near(a: np.ndarray, columns: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the pairs of rows ``a`` (n, words) and ``columns`` (words, m) that differ
+    in at most ``limit`` bits.  A pair that does so in the first words already isn't read further."""
+    some = min(3, len(columns))
+    part = np.bitwise_count(a[:, 0, None] ^ columns[0])
+    for k in range(1, some):
+        part += np.bitwise_count(a[:, k, None] ^ columns[k])
+    i, j = np.nonzero(part <= limit)
+    full = part[i, j] + np.bitwise_count(a[i, some:] ^ columns[some:, j].T).sum(1, dtype=np.int32)
+    return i[full <= limit], j[full <= limit]
 
 
 def link_group(ids: np.ndarray, sig: np.ndarray, limit: int) -> tuple[list[tuple[int, int]], np.ndarray]:
     """A spanning forest of the links within a group, and the position of one member of each class.
     A member is compared with members that have no class yet only."""
     links, heads = [], []
-    rest = np.arange(len(ids))
+    rest, columns = np.arange(len(ids)), np.ascontiguousarray(sig.T)
+    free = np.ones(len(ids), bool)
     while len(rest):
-        heads.append(rest[0])
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            near = _near(sig[rest], sig[x], limit)
-            found = rest[near]
-            rest = rest[~near]
-            links += [(int(ids[x]), int(ids[y])) for y in found]
-            queue += found.tolist()
+        batch = rest[:_ROWS]
+        i, j = _near(sig[batch], columns, limit)
+        j = rest[j]
+        ends = np.searchsorted(i, np.arange(len(batch) + 1))
+        for k, head in enumerate(batch.tolist()):
+            if not free[head]:
+                continue
+            heads.append(head)
+            free[head] = False
+            found = j[ends[k] : ends[k + 1]]
+            found = found[free[found]]
+            free[found] = False
+            links += [(int(ids[head]), y) for y in ids[found].tolist()]
+            queue = found.tolist()
+            while queue:
+                some, queue = queue[:_ROWS], queue[_ROWS:]
+                stay = free[rest]
+                rest, columns = rest[stay], columns[:, stay]
+                if not len(rest):
+                    break
+                x, y = _near(sig[some], columns, limit)
+                y, first = np.unique(y, return_index=True)  # one link is enough
+                found = rest[y]
+                free[found] = False
+                links += zip(ids[np.array(some)[x[first]]].tolist(), ids[found].tolist(), strict=True)
+                queue += found.tolist()
+        stay = free[rest]
+        rest, columns = rest[stay], columns[:, stay]
     return links, np.array(heads, np.int64)
 
 
-def _sub_buckets(key: np.ndarray, sampled: int, cap: int) -> Iterator[tuple[int, int]]:
-    """Runs of a sorted bucket of at most ``cap`` keys that share as few additional bits as
-    that takes; equal keys beyond the cap are cut by position."""
-    stack = [(0, len(key), sampled)]
-    while stack:
-        i, j, bits = stack.pop()
-        if j - i <= cap:
-            yield i, j
-        elif bits >= _KEY:
-            yield from ((k, min(k + cap, j)) for k in range(i, j, cap))
-        else:
-            bit = (key[i:j] >> (_KEY - 1 - bits)) & 1
-            m = i + int(np.searchsorted(bit, 1))
-            stack += [(a, b, bits + 1) for a, b in ((m, j), (i, m)) if b > a]
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows of equal ``by``, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(c).to_numpy() for c in by], 1)
+        cuts = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)], strict=True):
+            if held and (names[i] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+            last = names[i]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _links(rows: DataFrame, sampled: int, limit: int, cap: int) -> DataFrame:
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+
+
+def _block_links(keyed: DataFrame, large: DataFrame | None, limit: int, cap: int) -> DataFrame:
+    """Links within buckets, and within the random blocks of about ``cap`` rows of ``large`` ones.
+    Every block has the ``_PIVOTS`` of its bucket too, so that a large class mostly holds together."""
+    by = ["table", "bucket", "block"]
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = (-1, -1)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        heads: tuple[np.ndarray, np.ndarray] | None = None
-
-        def close(flush: bool) -> list[tuple[int, int]]:
-            """Links of the bucket that is held; unless ``flush``, its classes' members stay to be compared on."""
-            nonlocal held, heads
-            if not held:
-                return []
-            key, ids, sig = (np.concatenate(x) for x in zip(*held, strict=True))
-            out: list[tuple[int, int]] = []
-            if len(key) > 1 or heads is not None:
-                for i, j in _sub_buckets(key, sampled, cap):
-                    a, s = ids[i:j], sig[i:j]
-                    if heads is not None:
-                        a, s = np.concatenate([heads[0], a]), np.concatenate([heads[1], s])
-                    found, first = link_group(a, s, limit)
-                    out += found
-                    heads = (a[first], s[first])
-            held = []
-            if flush:
-                heads = None
-            return out
+        for group in _groups(batches, by):
+            if len(group) > 1:
+                yield _pairs(link_group(group["id"].to_numpy(), _signatures(group["signature"]), limit)[0])
+
+    rows = keyed.withColumn("block", F.lit(0))
+    if large is not None:
+        blocks = F.ceil(F.col("n") / cap).cast("int")
+        own = F.pmod(F.xxhash64("id", "table"), blocks).cast("int")
+        every = F.pmod(F.xxhash64("id", F.lit(1)), F.col("n")) < _PIVOTS
+        block = F.when(F.col("n").isNull(), F.array(F.lit(0))).when(every, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+        rows = keyed.join(F.broadcast(large), ["table", "bucket"], "left")
+        rows = rows.select("table", "bucket", "id", "signature", F.explode(block).alias("block"))
+    return rows.repartition(*by).sortWithinPartitions(*by, "id").mapInArrow(link, "a long, b long").distinct()
+
+
+def _cross_links(keyed: DataFrame, large: DataFrame, classes: DataFrame, limit: int, cap: int) -> DataFrame:
+    """Links between different classes within large buckets, exhaustively.
+
+    Of two members of different classes one at least is outside the bucket's most
+    frequent class.  So the members outside it are compared with all, in blocks
+    of about ``cap`` by ``cap`` rows that go to any task.
+    """
+    by = ["table", "bucket", "i", "j"]
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table, key = batch.column("table").to_numpy(), batch.column("key").to_numpy()
-            ids = batch.column("id").to_numpy()
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint64).reshape(len(ids), -1)
-            name = key >> (_KEY - sampled)
-            cuts = np.flatnonzero((name[1:] != name[:-1]) | (table[1:] != table[:-1])) + 1
-            out: list[tuple[int, int]] = []
-            for i, j in zip(np.append(0, cuts).tolist(), np.append(cuts, len(ids)).tolist(), strict=True):
-                if (table[i], name[i]) != bucket:
-                    out += close(True)
-                    bucket = (table[i], name[i])
-                held.append((key[i:j], ids[i:j], sig[i:j]))
-                if sum(len(h[0]) for h in held) >= 4 * cap:
-                    out += close(False)
-            a = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
-        a = np.array(close(True), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
-
-    parted = rows.repartitionByRange("table", "key").sortWithinPartitions("table", "key", "id")
-    return parted.mapInArrow(link, "a long, b long").distinct()
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, by):
+            class_, sig, few = group["class"].to_numpy(), _signatures(group["signature"]), group["few"].to_numpy()
+            a, b = np.flatnonzero(few), np.flatnonzero(~few)
+            columns, found = np.ascontiguousarray(sig[b].T), set()
+            for k in range(0, len(a) if len(b) else 0, _ROWS):
+                x, y = _near(sig[a[k : k + _ROWS]], columns, limit)
+                x, y = class_[a[x + k]], class_[b[y]]
+                found.update(zip(x[x != y].tolist(), y[x != y].tolist(), strict=True))
+            if found:
+                yield _pairs(list(found))
+
+    rows = keyed.join(F.broadcast(large), ["table", "bucket"]).join(classes.withColumnRenamed("node", "id"), "id", "left")
+    rows = rows.select("table", "bucket", "n", "id", "signature", F.coalesce("component", "id").alias("class"))
+    rows = materialise(rows, "large-buckets")
+    most = rows.groupBy("table", "bucket", "n", "class").count().groupBy("table", "bucket", "n")
+    most = most.agg(F.max_by("class", F.struct("count", "class")).alias("most"), F.max("count").alias("count"))
+    most = most.where("n > count").select("table", "bucket", "most", F.ceil((F.col("n") - F.col("count")) / cap).cast("int").alias("few_blocks"))
+    rows = rows.join(F.broadcast(most), ["table", "bucket"])
+    number = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+    blocks = F.ceil(F.col("n") / cap).cast("int")
+    columns = ["table", "bucket", "class", "signature"]
+    every = rows.select(*columns, F.lit(False).alias("few"), number(2, blocks).alias("i"), F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("j"))
+    few = rows.where("class != most").select(*columns, F.lit(True).alias("few"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), number(3, F.col("few_blocks")).alias("j"))
+    return every.unionByName(few).repartition(*by).sortWithinPartitions(*by).mapInArrow(link, "a long, b long").distinct()
+
+
+def _linked(texts: DataFrame, sampled: int, tables: int, bits: int, limit: int, cap: int) -> DataFrame:
+    """(node, component) of the (id, signature) that share a bucket with a near one."""
+    large = materialise(_large(texts, tables, bits, sampled, cap), "large")
+    some = not large.isEmpty()
+    keyed = _keyed(texts, tables, bits, sampled)
+    links = _block_links(keyed, large if some else None, limit, cap)
+    if not some:
+        return connected_components(links)
+    links = materialise(links, "links")
+    return connected_components(links.unionByName(_cross_links(keyed, large, connected_components(links), limit, cap)))
 
 
 def _classes(df: DataFrame, doc_id: str, text: str, similarity: float, bits: int, tables: int | None, cap: int) -> DataFrame:
@@ -264,7 +343,7 @@ def _classes(df: DataFrame, doc_id: str, text: str, similarity: float, bits: int
     texts = materialise(texts.join(shared, "first", "left").select("words", "first", "signature", own.alias("id")), "signed-texts")
     limit = distance_limit(similarity, bits)
     sampled, enough = table_plan(texts.count(), limit, bits)
-    classes = connected_components(_links(_keyed(texts, tables or enough, bits), sampled, limit, cap))
+    classes = _linked(texts, sampled, tables or enough, bits, limit, cap)
     named = texts.join(classes, F.col("id") == F.col("node"), "left").select("words", "first", F.coalesce("component", "id").alias("component"))
     best = named.groupBy("component").agg(F.min("first").alias("class_id"))
     named = materialise(named.join(best, "component").select("words", "component", "class_id"), "classes")

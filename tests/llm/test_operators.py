@@ -177,6 +177,37 @@ def test_link_group_finds_whole_components():
     assert len(links) == 20 and len(heads) == 6
 
 
+def test_large_buckets_are_compared_whole(spark):
+    """One table, one bucket far over the cap: a hot class, pairs whose ends are near each other only, and a chain."""
+    rng = np.random.default_rng(7)
+    base = np.zeros(512, np.uint8)
+
+    def flipped(row, n):
+        out = row.copy()
+        out[8 + rng.permutation(504)[:n]] ^= 1
+        return out
+
+    orders = simhash._orders(1, 512, 8)[0]
+    back = np.argsort(np.concatenate([orders, np.setdiff1d(np.arange(512), orders)]))
+    rows = [flipped(base, 30) for _ in range(150)]
+    for _ in range(60):
+        far = flipped(base, 240)
+        rows += [far, flipped(far, 70)]
+    for _ in range(10):
+        rows.append(flipped(rows[-1], 75))
+    packed = np.packbits(np.stack(rows)[:, back], axis=1)
+    df = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(packed)], "id long, signature binary").repartition(3)
+    limit = 78
+    near = np.bitwise_count(packed[:, None] ^ packed[None]).sum(2, dtype=int) <= limit
+    want = np.arange(len(rows))
+    for _ in rows:
+        want = np.where(near, want[None], len(rows)).min(1)
+    assert len(set(want[:150])) == 1 and len(set(want)) > 50
+    for cap in (16, 10_000):
+        got = {r.node: r.component for r in simhash._linked(df, 8, 1, 512, limit, cap).collect()}
+        assert [got.get(k, k) for k in range(len(rows))] == want.tolist()
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 60) if k % 20 != 19] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 THRESHOLD = 2
-#: Shorter lines (bytes, without outer white space) always stay.
+#: Shorter lines (bytes, without outer white space) stay, but for exact repeats if ``exact_bytes`` says so.
 MIN_BYTES = 25
 #: A line of more than 1 / HOT of all occurrences is joined by broadcast: fewer than HOT lines.
 HOT = 2000
@@ -170,12 +170,12 @@ def _near(distinct: DataFrame, threshold: int) -> DataFrame:
     return near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("lid")).distinct()
 
 
-def _dropped(texts: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
+def _dropped(texts: DataFrame, threshold: int, min_bytes: int, exact_bytes: int | None) -> DataFrame:
     """(id, tie, dropped): the line numbers that each document loses, with documents that lose some only."""
-    lines = _lines(texts, min_bytes)
+    lines = _lines(texts, min_bytes if exact_bytes is None else min(min_bytes, exact_bytes))
     distinct = lines.groupBy("line").agg(F.min(_position()).alias("first"), F.count("*").alias("n"))
     distinct = materialise(distinct.withColumn("lid", F.monotonically_increasing_id()), "lines")
-    near = _near(distinct, threshold).withColumn("near", F.lit(True))
+    near = _near(distinct.where(F.octet_length("line") >= min_bytes), threshold).withColumn("near", F.lit(True))
     name = F.unhex(F.md5("line"))
     marked = distinct.select("lid", name.alias("name"), "first", "n").join(near, "lid", "left")
     marked = materialise(marked.where("near OR n > 1").select("name", "first", "n", F.coalesce("near", F.lit(False)).alias("near")), "repeated-lines")
@@ -201,17 +201,20 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     id_, tie = _keys(df, doc_id, text)
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), id_.alias("id"), tie.alias("tie"), F.col(text).alias("text"))
     out = texts.select("doc_id", "id", "tie", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    out = out.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).join(_dropped(texts, threshold, min_bytes), ["id", "tie"], "left")
+    out = out.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).join(_dropped(texts, threshold, min_bytes, None), ["id", "tie"], "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(dropped).alias("n_dropped"), dropped.alias("dropped"))
 
 
-def line_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
+def line_dedup(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None
+) -> DataFrame:
     """The rows of ``df`` with all their columns and ``text`` without its dropped lines.
+    Exact repeats of lines of ``exact_bytes`` or more go too, where that is less than ``min_bytes``.
     A row that loses no line keeps its text as it is; one that loses all has an empty text."""
     id_, tie = _keys(df, doc_id, text)
     texts = df.select(id_.alias("id"), tie.alias("tie"), F.col(text).alias("text"))
-    gone = _dropped(texts, threshold, min_bytes).withColumnsRenamed({"id": "__id", "tie": "__tie", "dropped": "__dropped"})
+    gone = _dropped(texts, threshold, min_bytes, exact_bytes).withColumnsRenamed({"id": "__id", "tie": "__tie", "dropped": "__dropped"})
     keyed = df.withColumns({"__row": id_, "__row_tie": tie})
     joined = keyed.join(gone, (F.col("__row") == F.col("__id")) & (F.col("__row_tie") == F.col("__tie")), "left")
     lines = F.split(text, "\n")

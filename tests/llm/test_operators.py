@@ -251,6 +251,16 @@ def test_line_dedup_edge_cases(spark):
     assert line_dedup.dropped_lines(table(spark, [])).count() == 0 and line_dedup.line_dedup(df).columns == df.columns
 
 
+def test_pipeline_drops_short_exact_repeats(spark):
+    import corpus_pipeline
+
+    long_ = "y" * 30
+    docs = [(1, f"All rights reserved.\n\nshort a\n{long_}"), (2, f" All rights reserved. \n\nshort b\n{long_}z"), (3, "short a\nshort a"), (4, "new\nnew\n")]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+    assert got == {1: (docs[0][1], len(docs[0][1])), 2: ("\nshort b", 8), 4: ("new\n", 4)}
+
+
 def test_edit_distance(spark):
     def distance(a, b):
         d = list(range(len(b) + 1))

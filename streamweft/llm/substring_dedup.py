@@ -72,12 +72,13 @@ def _repeated(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out_again, out_first
 
 
-def _texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, the order key (id, tie) and text.  tie is 0 unless ids repeat in the table."""
+def _texts(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, the order key (id, tie) and text of every row, and of one row a key.  tie is 0 unless ids repeat in the table."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     unique = rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-    tie = F.lit(0) if unique else F.hash("text")
-    return rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), tie.cast("int").alias("tie"), "text")
+    tie = F.lit(0) if unique else F.xxhash64("text")
+    texts = rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), tie.cast("long").alias("tie"), "text")
+    return texts, texts if unique else texts.dropDuplicates(["id", "tie"])
 
 
 def _batch_words(batch: pa.RecordBatch) -> Iterator[tuple[int, Words]]:
@@ -119,7 +120,7 @@ def _anchor_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 names=["anchor", "id", "tie", "pos", "kind"],
             )
 
-    return texts.mapInArrow(rows, "anchor long, id long, tie int, pos int, kind byte")
+    return texts.mapInArrow(rows, "anchor long, id long, tie long, pos int, kind byte")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -152,7 +153,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
     # settled rows go anywhere: by document
     part = F.when(F.col("kind") == _SETTLED, F.col("id")).otherwise(F.col("anchor"))
-    return rows.repartition(part).sortWithinPartitions("anchor").mapInArrow(keep, "id long, tie int, pos int")
+    return rows.repartition(part).sortWithinPartitions("anchor").mapInArrow(keep, "id long, tie long, pos int")
 
 
 def _edge_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
@@ -198,7 +199,7 @@ def _edge_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 names=["edge", "check", "id", "tie", "start", "n"],
             )
 
-    return texts.mapInArrow(rows, "edge long, check int, id long, tie int, start int, n int")
+    return texts.mapInArrow(rows, "edge long, check int, id long, tie long, start int, n int")
 
 
 def _repeats(rows: DataFrame) -> DataFrame:
@@ -224,14 +225,14 @@ def _repeats(rows: DataFrame) -> DataFrame:
 
     order = ["edge", "check", "id", "tie", "start"]
     part = F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("edge"))
-    return rows.repartition(part).sortWithinPartitions(*order).mapInArrow(keep, "id long, tie int, start int, n int")
+    return rows.repartition(part).sortWithinPartitions(*order).mapInArrow(keep, "id long, tie long, start int, n int")
 
 
 def repeated_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = ANCHOR) -> DataFrame:
     """(doc_id, text, runs): every row of ``df`` and the runs (start, n) of its windows that occur earlier."""
-    texts = _texts(df, doc_id, text)
-    shared = _shared(_anchor_rows(texts, window, gram)).groupBy("id", "tie").agg(F.collect_list("pos").alias("shared"))
-    edges = _edge_rows(texts.join(shared, ["id", "tie"], "left").select("doc_id", "id", "tie", "text", "shared"), window, gram)
+    texts, once = _texts(df, doc_id, text)
+    shared = _shared(_anchor_rows(once, window, gram)).groupBy("id", "tie").agg(F.collect_list("pos").alias("shared"))
+    edges = _edge_rows(once.join(shared, ["id", "tie"], "left").select("doc_id", "id", "tie", "text", "shared"), window, gram)
     runs = _repeats(edges).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return texts.join(runs, ["id", "tie"], "left").select("doc_id", "text", "runs")
 

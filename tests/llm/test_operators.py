@@ -307,6 +307,14 @@ def test_substring_dedup(spark):
     assert len(twice) == 3
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_substring_dedup_keeps_a_copy_of_repeated_rows(spark, parts):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    docs = [(1, a), (1, a), (1, b), (2, a), (None, c), (None, c), (None, f"{b} tail")]
+    got = substring_dedup.substring_dedup(table(spark, docs, parts)).collect()
+    assert sorted((str(r.doc_id), r.n_removed, r.kept_text) for r in got) == sorted([("1", 0, a), ("1", 0, a), ("1", 0, b), ("2", 40, ""), ("None", 0, c), ("None", 0, c), ("None", 40, "tail")])
+
+
 def _labelled(spark):
     rng = random.Random(8)
     docs, labels = [], []

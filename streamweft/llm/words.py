@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+#: Rows of a slice, so that 16 bits name one.
+SLICE_ROWS = 1 << 16
 _BLOCK = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _U = np.uint64
@@ -144,12 +146,12 @@ def split_words(texts: pa.Array) -> Words:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with at most ``limit`` bytes of text, or one row."""
+    """Consecutive parts of a batch with at most ``limit`` bytes of text, or one row, and at most ``SLICE_ROWS`` rows."""
     if not batch.num_rows:
         return
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i, base = 0, 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(size, base + limit, "right")))
+        j = min(max(i + 1, int(np.searchsorted(size, base + limit, "right"))), i + SLICE_ROWS)
         yield batch.slice(i, j - i)
         i, base = j, int(size[j - 1])

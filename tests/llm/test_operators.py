@@ -156,12 +156,73 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("texts", [2, 10_000, 220_000, 2_000_000, 13_000_000, 100_000_000])
+@pytest.mark.parametrize("texts", [2, 10_000, 220_000, 2_000_000, 13_000_000, 100_000_000, 10**11])
 def test_near_pairs_meet_at_every_size(texts):
-    limit = simhash.distance_limit(simhash.SIMILARITY)
-    sampled, tables = simhash.table_plan(texts, limit)
-    once = np.prod([(simhash.BITS - limit - k) / (simhash.BITS - k) for k in range(sampled)])
-    assert (1 - once) ** tables <= simhash.MISS and texts / 2**sampled <= simhash.MEAN
+    low, high = simhash.distance_limits(simhash.SIMILARITY)
+    sampled, tables = simhash.table_plan(texts, simhash.SIMILARITY)
+    middle = round(simhash.BITS * np.arccos(1.6 / 1.8) / np.pi)
+    once = np.prod([(simhash.BITS - middle - k) / (simhash.BITS - k) for k in range(sampled)])
+    assert low < middle < high and (1 - once) ** tables <= simhash.MISS and texts / 2**sampled <= simhash.MEAN
+    assert simhash.lost_share(sampled, tables, 0.8) <= simhash.MISS < simhash.lost_share(sampled, tables - 1, 0.8) if tables > 1 else True
+
+
+def _varied(rng, words, share):
+    """The words with about a ``share`` of all five-word shingles changed."""
+    out = list(words)
+    for _ in range(round(share * len(out) / 5)):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+def _shingles(text):
+    w = re.findall("[^\x20\x09-\x0D]+", text or "")
+    return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def _similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b) if a and b else a == b
+
+
+def test_sampled_buckets_find_similar_pairs_at_every_size():
+    """Signatures of real pairs of similarity 0.8 and more, at the bits and tables of small and of huge corpora."""
+    rng = random.Random(11)
+    texts, pairs = [], []
+    while len(pairs) < 150:
+        base = prose(rng, 300).split()
+        a, b = " ".join(base), " ".join(_varied(rng, base, rng.choice([0.08, 0.1, 0.12])))
+        if _similar(_shingles(a), _shingles(b)):
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [a, b]
+    ones = np.unpackbits(simhash.signatures(*simhash.shingle_hashes(split_words(pa.array(texts)))), axis=1)
+    high = simhash.distance_limits(0.8)[1]
+    for size in (2**14, 2**24, 2**34):
+        sampled, tables = simhash.table_plan(size, 0.8)
+        orders = simhash._orders(tables, 512, sampled)
+        met = [any((ones[a, o] == ones[b, o]).all() for o in orders) and (ones[a] != ones[b]).sum() <= high for a, b in pairs]
+        assert np.mean(met) >= 0.93
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    """Similarities about 0.8 on both sides, chains of links, copies, short, empty, null and long texts."""
+    rng = random.Random(12)
+    docs, k = [], 0
+    for _ in range(25):
+        words = prose(rng, rng.choice([40, 200, 300])).split()
+        for _ in range(rng.randint(1, 4)):
+            docs.append((k, " ".join(words)))
+            words = _varied(rng, words, rng.choice([0, 0.02, 0.05, 0.1, 0.15, 0.25]))
+            k += 1
+    long_ = prose(rng, 60_000)
+    docs += [(k, long_), (k + 1, long_ + " tail"), (k + 2, None), (k + 3, "  "), (k + 4, "a b"), (k + 5, "a  b"), (k + 6, "a b c")]
+    sets = {i: _shingles(t) for i, t in docs}
+    class_ = {i: i for i, _ in docs}
+    for i in class_:
+        for j in class_:
+            if j < i and _similar(sets[i], sets[j]) and class_[i] != class_[j]:
+                low, high = sorted((class_[i], class_[j]))
+                class_ = {x: low if c == high else c for x, c in class_.items()}
+    got = {r.doc_id: r.class_id for r in simhash.near_duplicates(table(spark, docs), tables=60).collect()}
+    assert got == class_ and len(set(class_.values())) > 30 and sum(i != c for i, c in class_.items()) > 15
 
 
 def test_link_group_finds_whole_components():
@@ -204,7 +265,7 @@ def test_large_buckets_are_compared_whole(spark):
         want = np.where(near, want[None], len(rows)).min(1)
     assert len(set(want[:150])) == 1 and len(set(want)) > 50
     for cap in (16, 10_000):
-        got = {r.node: r.component for r in simhash._linked(df, 8, 1, 512, limit, cap).collect()}
+        got = {r.node: r.component for r in simhash._linked(df, 8, 1, 512, limit, limit, cap, None).collect()}
         assert [got.get(k, k) for k in range(len(rows))] == want.tolist()
 
 

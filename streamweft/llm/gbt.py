@@ -20,13 +20,11 @@ class Forest:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of label 1."""
-        total = np.full(len(x), self.base)
-        inner, rows = self.feature.shape[1], np.arange(len(x))
-        for f, t, leaf in zip(self.feature, self.threshold, self.leaf, strict=True):
-            node = np.zeros(len(x), np.int64)
-            while inner and node[:1].size and node[0] < inner:
-                node = 2 * node + 1 + (x[rows, f[node]] > t[node])
-            total += leaf[node - inner]
+        inner, rows, tree = self.feature.shape[1], np.arange(len(x)), np.arange(len(self.feature))[:, None]
+        node = np.zeros((len(self.feature), len(x)), np.int64)
+        for _ in range(inner.bit_length()):  # all trees go down a level at once
+            node = 2 * node + 1 + (x[rows, self.feature[tree, node]] > self.threshold[tree, node])
+        total = self.base + self.leaf[tree, node - inner].sum(0)
         return 1 / (1 + np.exp(-total))
 
 

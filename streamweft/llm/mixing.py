@@ -53,16 +53,18 @@ class DomainModel:
     forests: list[Forest]
 
     def posteriors(self, texts: pa.Array) -> np.ndarray:
+        """Domain shares of each text, which add up to 1."""
         x = self.features(texts)
         p = np.stack([f.score(x) for f in self.forests], 1)
         return p / p.sum(1, keepdims=True)
 
     def features(self, texts: pa.Array) -> np.ndarray:
         w = split_words(texts)
-        bucket = (w.hashes() % np.uint64(_BUCKETS)).astype(np.int64)
+        h = w.hashes()
+        bucket = (h % np.uint64(_BUCKETS)).astype(np.int64)
         n = np.diff(w.first)
         some = np.flatnonzero(n)
-        columns = [document_statistics(texts)]
+        columns = [document_statistics(texts, w, h)]
         for odds in self.odds:
             v = odds[bucket]
             out = np.zeros((len(n), 4))

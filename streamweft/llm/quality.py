@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .gbt import Forest, fit
-from .words import slices, split_words
+from .words import Words, slices, split_words
 
 #: Labelled documents to learn from: those of smallest id hash, if there are more.
 TRAIN_ROWS = 20_000
@@ -25,30 +25,35 @@ THRESHOLD = 0.7
 _SIGNS = "#*|$%&!?.,:;-_=<>{}[]()/\\@\"'+~^"
 
 
-def document_statistics(texts: pa.Array) -> np.ndarray:
-    """One row of finite statistics a text; null and empty texts have the same row."""
-    w = split_words(texts)
-    data, offsets, n = w.data, w.offsets, len(w.first) - 1
+def _run_lengths(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of values (their upper 48 bits) by document: the document of each distinct one, and how often it occurs there."""
+    key = (owner.astype(np.uint64) << np.uint64(48)) | (values >> np.uint64(16))
+    key.sort()
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return (key[at] >> np.uint64(48)).astype(np.int64), np.diff(np.append(at, len(key)))
+
 
-    def per_text(mask: np.ndarray) -> np.ndarray:
-        total = np.append(0, np.cumsum(mask, dtype=np.int64))
-        return (total[offsets[1:]] - total[offsets[:-1]]).astype(float)
+def document_statistics(texts: pa.Array, words: Words | None = None, hashes: np.ndarray | None = None) -> np.ndarray:
+    """One row of finite statistics a text (a slice's, so 16 bits name one); null and empty texts have the same row."""
+    w = words if words is not None else split_words(texts)
+    data, offsets, n = w.data, w.offsets, len(w.first) - 1
 
     def per_words(values: np.ndarray) -> np.ndarray:
         total = np.append(0.0, np.cumsum(values, dtype=np.float64))
         return total[w.first[1:]] - total[w.first[:-1]]
 
     size = np.diff(offsets).astype(float)
-    words = np.diff(w.first).astype(float)
+    words_ = np.diff(w.first).astype(float)
     length = (w.ends - w.starts).astype(float)
-    byte, word = np.maximum(size, 1), np.maximum(words, 1)
+    byte, word = np.maximum(size, 1), np.maximum(words_, 1)
     kinds = np.zeros(256, np.uint8)
     for k, group in enumerate((range(65, 91), range(97, 123), range(48, 58), range(128, 256), (10,)), 1):
         kinds[list(group)] = k
     kind = kinds[data]
-    upper, lower, digit, wide, feeds = (per_text(kind == k) for k in range(1, 6))
+    of_kind = np.bincount(np.repeat(np.arange(n) * 8, np.diff(offsets)) + kind, minlength=8 * n).reshape(-1, 8).astype(float)
+    upper, lower, digit, wide, feeds = of_kind[:, 1:6].T
     lines = feeds + 1
-    out = [np.log1p(size), np.log1p(words), per_words(length) / word, per_words(length**2) / word, upper / byte, lower / byte, digit / byte, wide / byte, np.log1p(feeds), words / lines]
+    out = [np.log1p(size), np.log1p(words_), per_words(length) / word, per_words(length**2) / word, upper / byte, lower / byte, digit / byte, wide / byte, np.log1p(feeds), words_ / lines]
     sign = np.zeros(256, np.uint8)
     for k, c in enumerate(_SIGNS, 1):
         sign[ord(c)] = k
@@ -57,28 +62,21 @@ def document_statistics(texts: pa.Array) -> np.ndarray:
     if len(at):
         owner = np.searchsorted(offsets, at, "right") - 1
         counts = np.bincount(sign[data[at]].astype(np.int64) * n + owner, minlength=(len(_SIGNS) + 1) * n).reshape(-1, n).astype(float)
-    out += [c / byte for c in counts[1:]] + [counts[1:].sum(0) / byte, words / (counts[1 + _SIGNS.index(".")] + 1)]
+    out += [c / byte for c in counts[1:]] + [counts[1:].sum(0) / byte, words_ / (counts[1 + _SIGNS.index(".")] + 1)]
     if len(w):
         last, head = sign[data[w.ends - 1]] > 0, kind[w.starts]
         capital = head == 1
         twice = np.append(False, (w.ends[1:] - w.starts[1:] == w.ends[:-1] - w.starts[:-1]))
-        h = w.hashes()
+        h = hashes if hashes is not None else w.hashes()
         twice &= np.append(False, h[1:] == h[:-1])
         owner = w.doc
-        order = np.lexsort((h, owner))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-        distinct = np.bincount(owner[order][new], minlength=n).astype(float)
-        runs = np.diff(np.append(np.flatnonzero(new), len(h)))
-        top = np.zeros(n)
-        np.maximum.at(top, owner[order][new], runs)
-        g = w.ngrams(4, h)
+        of, runs = _run_lengths(owner, h)
+        distinct, top = np.bincount(of, minlength=n).astype(float), np.zeros(n)
+        some = np.flatnonzero(words_)
+        top[some] = np.maximum.reduceat(runs, np.searchsorted(of, some))
         ok = w.inside(4)
-        order = np.lexsort((g[ok], owner[ok]))
-        gs, os_ = g[ok][order], owner[ok][order]
-        again = np.zeros(len(gs), bool)
-        again[1:] = (gs[1:] == gs[:-1]) & (os_[1:] == os_[:-1])
-        repeats = np.bincount(os_[again], minlength=n).astype(float)
+        of, runs = _run_lengths(owner[ok], w.ngrams(4, h)[ok])
+        repeats = np.bincount(of, runs - 1, minlength=n)
         out += [per_words(last) / word, per_words(capital) / word, per_words(length > 12) / word, per_words(length < 3) / word, per_words(twice) / word, distinct / word, top / word, repeats / word]
     else:
         out += [np.zeros(n)] * 8
@@ -124,20 +122,19 @@ def train_quality(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     return fit(x if len(x) else np.zeros((0, 1)), y)
 
 
-def score_quality(df: DataFrame, forest: Forest, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every row and ``score``."""
-    columns = [c for c in columns if c != "score"]
+def score_quality(df: DataFrame, forest: Forest, columns: list[str], text: str = "text", score: str = "score") -> DataFrame:
+    """``columns`` of every row, as they are, and ``score`` (none of them)."""
     names = [f"c{i}" for i in range(len(columns))]
-    rows = df.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), F.col(text).alias("text"))
+    rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)), F.col(f"`{text}`").alias("text"))
     schema = rows.drop("text").withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                score = forest.score(document_statistics(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(score)], names=[*names, "score"])
+                found = forest.score(document_statistics(part.column("text")))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(found)], names=[*names, "score"])
 
-    return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, columns, strict=True)))
+    return rows.mapInArrow(run, schema).toDF(*columns, score)
 
 
 def classify_quality(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -153,7 +150,14 @@ def classify_quality(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def keep_quality(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df``, with all their columns, that the classifier accepts."""
+    """The rows of ``df``, with all their columns as they are, that the classifier accepts.
+
+    Null and empty texts are judged alike, as are equal texts and rows repeated
+    whole, so all or none of them stay.  Without labels every score is 0.5 and,
+    with the threshold above it, no row stays.  An empty table gives no row.
+    """
     forest = train_quality(df, labels, doc_id, text)
-    scored = score_quality(df.withColumn("__text", F.col(text)), forest, df.columns, "__text")
-    return scored.where(F.col("score") >= threshold).select(*df.columns)
+    name = "score"
+    while name in df.columns:
+        name += "_"
+    return score_quality(df, forest, df.columns, text, name).where(F.col(name) >= threshold).drop(name)

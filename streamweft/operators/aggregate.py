@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linalg import dot, vec
@@ -93,6 +93,18 @@ def sample_sort(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
 
+def global_rank(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with ``rank`` from 0 in the order of ``columns``: a sample sort, ranks within its ranges,
+    and prefix sums over the ranges' sizes (one small row a range)."""
+    from ..plans.rounds import shared_table
+
+    ranged = shared_table(df.repartitionByRange(*columns).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__range").count()
+    before = sizes.select("__range", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*columns))
+    return ranged.withColumn("__own", own).join(before, "__range").withColumn("rank", F.col("__before") + F.col("__own") - 1).drop("__range", "__before", "__own")
+
+
 def kd_tree(points: DataFrame, depth: int, accuracy: int = 10_000) -> tuple[DataFrame, list[dict]]:
     """Split points at approximate medians, axis by axis, ``depth`` times.
 

@@ -105,6 +105,44 @@ def rebalance(blocks: DataFrame, weights: DataFrame, n_procs: int) -> DataFrame:
     return w.withColumn("proc", F.least(F.floor(done * n_procs / whole), F.lit(n_procs - 1)).cast("int"))
 
 
+def rebalance_bisection(blocks: DataFrame, weights: DataFrame, levels: int) -> DataFrame:
+    """``2 ** levels`` parts of about equal weight by recursive coordinate bisection: every part is
+    cut at its weighted median along its longest side, by the blocks' centres (x, y, z), level by
+    level.  Blocks without weight count as 1.  A part's blocks are sorted in one task."""
+    centre = {f"c{p}": (F.col(f"real_lo_{p}") + F.col(f"real_hi_{p}")) / F.lit(2.0) for p in "xyz"}
+    out = blocks.join(weights.select(F.col("block").alias("gid"), "weight"), "gid", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0)), F.lit(1)))
+    out = out.withColumns(centre).withColumn("proc", F.lit(0))
+    for _ in range(levels):
+        part = Window.partitionBy("proc")
+        wide = {p: F.max(f"c{p}").over(part) - F.min(f"c{p}").over(part) for p in "xyz"}
+        out = out.withColumns({f"w{p}": w for p, w in wide.items()})
+        axis = F.when((F.col("wx") >= F.col("wy")) & (F.col("wx") >= F.col("wz")), F.col("cx")).when(F.col("wy") >= F.col("wz"), F.col("cy")).otherwise(F.col("cz"))
+        out = out.withColumn("at", axis)
+        done = F.sum("weight").over(part.orderBy("at", "gid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight") / 2
+        half = F.sum("weight").over(part) / 2
+        out = out.withColumns({"done": done, "half": half})
+        out = out.withColumn("proc", (F.col("proc") * 2 + (F.col("done") > F.col("half")).cast("int"))).drop("done", "half", "at", "wx", "wy", "wz")
+    return out.drop("cx", "cy", "cz")
+
+
+def enqueue(items: DataFrame, neighbours: DataFrame, how: str = "all") -> DataFrame:
+    """Items (block, ...) addressed to blocks (``to_block``): to the block that ``target`` names if
+    it is a neighbour ("gid"), to the neighbour in direction (dx, dy, dz, dt) ("direction"), to
+    every neighbour ("all"), or to the neighbours whose ghost box holds the item's place ("near").
+
+    ``neighbours`` has (gid, neighbour), for "direction" its offset too, for "near" the
+    neighbour's box (lo_x.. hi_t); the item's own block counts if the table has it.
+    """
+    pairs = neighbours.withColumnsRenamed({"gid": "block", "neighbour": "to_block"})
+    both = items.join(pairs, "block" if how != "direction" else ["block", "dx", "dy", "dz", "dt"])
+    if how == "gid":
+        both = both.where(F.col("to_block") == F.col("target"))
+    if how == "near":
+        for p in _AXES:
+            both = both.where(F.col(p).between(F.col(f"lo_{p}"), F.col(f"hi_{p}")))
+    return both.select(*items.columns, "to_block")
+
+
 def lattice_neighbours(blocks: DataFrame, counts: Sequence[int], faces_only: bool = False, periodic: Sequence[bool] = (False,) * 4) -> DataFrame:
     """(gid, neighbour) for the 3^4 offsets (self included), or the faces of x, y, z alone.
     Ids are arithmetic, so there is no join; ``periodic`` axes wrap around."""
@@ -147,13 +185,44 @@ def block_index(blocks: DataFrame, counts: Sequence[int]) -> DataFrame:
     return out.withColumn("rank", rank.cast("int"))
 
 
+def _extents(boxes: DataFrame, low: str, high: str) -> list[float]:
+    """The largest extent of the boxes on each axis, at least 1; four numbers come to the driver."""
+    row = boxes.agg(*(F.max(F.col(f"{high}_{p}") - F.col(f"{low}_{p}")).cast("double") for p in _AXES)).first()
+    return [max(float(v or 1.0), 1.0) for v in row]
+
+
+def _in_bins(boxes: DataFrame, low: list[Column], high: list[Column], sizes: list[float]) -> DataFrame:
+    """``boxes`` once for every bin (__x, __y, __z, __t) of the given sizes that they meet; no box meets more than two a side if none is larger than a bin."""
+    for p, a, b, s in zip(_AXES, low, high, sizes, strict=True):
+        boxes = boxes.withColumn(f"__{p}", F.explode(F.sequence(F.floor(a / F.lit(s)), F.floor(b / F.lit(s)))))
+    return boxes
+
+
+_BINS = [f"__{p}" for p in _AXES]
+
+
+def holding(points: DataFrame, boxes: DataFrame, names: Sequence[str] = _AXES, low: str = "real_lo", high: str = "real_hi") -> DataFrame:
+    """Every pair of a row of ``points`` (position ``names``) and a box that holds it, bounds included:
+    an equi-join on bins as large as the largest box."""
+    sizes = _extents(boxes, low, high)
+    listed = _in_bins(boxes, [F.col(f"{low}_{p}") for p in _AXES], [F.col(f"{high}_{p}") for p in _AXES], sizes)
+    placed = points.withColumns({b: F.floor(F.col(n) / F.lit(s)) for b, n, s in zip(_BINS, names, sizes, strict=True)})
+    found = placed.join(listed, _BINS)
+    for n, p in zip(names, _AXES, strict=True):
+        found = found.where(F.col(n).between(F.col(f"{low}_{p}"), F.col(f"{high}_{p}")))
+    return found.drop(*_BINS)
+
+
 def overlapping(a: DataFrame, b: DataFrame, reach: int = 0) -> DataFrame:
-    """Pairs (gid, other) of boxes that overlap on every axis, ``a``'s widened by ``reach``."""
-    right = b.select(F.col("gid").alias("other"), *(F.col(f"real_{s}_{p}").alias(f"o_{s}_{p}") for s in ("lo", "hi") for p in _AXES))
-    on = F.lit(True)
+    """Pairs (gid, other) of boxes that overlap on every axis, ``a``'s widened by ``reach``; an equi-join on bins."""
+    sizes = [max(x) for x in zip(_extents(a, "real_lo", "real_hi"), _extents(b, "real_lo", "real_hi"), strict=True)]
+    ends = [f"real_{s}_{p}" for s in ("lo", "hi") for p in _AXES]
+    left = _in_bins(a.select("gid", *ends), [F.col(f"real_lo_{p}") - reach for p in _AXES], [F.col(f"real_hi_{p}") + reach for p in _AXES], sizes)
+    right = _in_bins(b.select(F.col("gid").alias("other"), *(F.col(e).alias(f"o_{e}") for e in ends)), [F.col(f"o_real_lo_{p}") for p in _AXES], [F.col(f"o_real_hi_{p}") for p in _AXES], sizes)
+    both = left.join(right, _BINS)
     for p in _AXES:
-        on = on & (F.col(f"real_lo_{p}") - reach <= F.col(f"o_hi_{p}")) & (F.col(f"real_hi_{p}") + reach >= F.col(f"o_lo_{p}"))
-    return a.join(F.broadcast(right), on).select("gid", "other")
+        both = both.where((F.col(f"real_lo_{p}") - reach <= F.col(f"o_real_hi_{p}")) & (F.col(f"real_hi_{p}") + reach >= F.col(f"o_real_lo_{p}")))
+    return both.select("gid", "other").distinct()
 
 
 def time_groups(blocks: DataFrame) -> DataFrame:
@@ -168,8 +237,5 @@ def in_time_block(blocks: DataFrame, group: int) -> DataFrame:
 
 def halo_nodes(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
     """Nodes once for every block whose ghost box holds them: (block, t, i, j, k, u, v, w)."""
-    on = F.lit(True)
-    for n, p in zip("ijkt", _AXES, strict=True):
-        on = on & F.col(n).between(F.col(f"lo_{p}"), F.col(f"hi_{p}"))
     boxes = blocks.select(F.col("gid").alias("block"), *(f"{s}_{p}" for s in ("lo", "hi") for p in _AXES))
-    return nodes.join(F.broadcast(boxes), on).select("block", *nodes.columns)
+    return holding(nodes, boxes, ("i", "j", "k", "t"), "lo", "hi").select("block", *nodes.columns)

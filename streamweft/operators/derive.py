@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..field import FlowField
 from ..functions.linalg import cross, det3, dot, inv3, mat, matadd, matmul, matscale, matsub, matvec, norm, symmetric_eigenvalues, trace, transpose, unit, vec
-from .locate import sample
+from .locate import at_places, sample
 
 _V = ("u", "v", "w")
 
@@ -90,11 +90,10 @@ def jacobian_at(points: DataFrame, field: FlowField, delta: float = 0.1, key: st
     one probe is outside, null where both are or the point is."""
     shifts = [(0, 0, 0)] + [tuple(s if a == b else 0 for b in range(3)) for a in range(3) for s in (-1, 1)]
     probes = F.array(*(F.struct(F.lit(n).alias("n"), *(F.lit(float(d) * delta).alias(p) for p, d in zip("xyz", s, strict=True))) for n, s in enumerate(shifts)))
-    base = points.select(key, "x", "y", "z", *(["t"] if "t" in points.columns else []))
-    sent = base.withColumn("__p", F.explode(probes))
-    sent = sent.withColumns({p: F.col(p) + F.col(f"__p.{p}") for p in "xyz"}).withColumn("probe", F.struct(F.col(key).alias("key"), F.col("__p.n").alias("n"))).drop("__p")
-    got = sample(sent, field, "probe").select(F.col("probe.key").alias("__key"), F.col("probe.n").alias("n"), *_V)
-    wide = got.groupBy("__key").agg(*(F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in range(7) for c in _V))
+    names = ["x", "y", "z", *(["t"] if "t" in points.columns else [])]
+    sent = points.select(*names).distinct().select(F.struct(*names).alias("place"), *names, F.explode(probes).alias("p"))
+    sent = sent.select("place", F.col("p.n").alias("n"), *((F.col(p) + F.col(f"p.{p}")).alias(p) for p in "xyz"), *names[3:])
+    wide = sample(sent, field).groupBy("place").agg(*(F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in range(7) for c in _V))
     columns = []
     for r, c in enumerate(_V):
         for a in range(3):
@@ -102,7 +101,7 @@ def jacobian_at(points: DataFrame, field: FlowField, delta: float = 0.1, key: st
             sides = F.when(before.isNotNull() & after.isNotNull(), (after - before) / F.lit(2 * delta))
             sides = sides.when(after.isNotNull(), (after - own) / F.lit(delta)).when(before.isNotNull(), (own - before) / F.lit(delta))
             columns.append(F.when(own.isNotNull(), sides).alias(f"j{r}{a}"))
-    return points.join(wide.select("__key", *columns), F.col(key) == F.col("__key"), "left").drop("__key")
+    return at_places(points, names, wide.select("place.*", *columns))
 
 
 def curl_at(points: DataFrame, field: FlowField, key: str = "point_id") -> DataFrame:
@@ -116,13 +115,13 @@ def curl_at(points: DataFrame, field: FlowField, key: str = "point_id") -> DataF
         for side, q in enumerate((low, high)):
             moved = F.lit(float(lo)) + q * F.lit(float(s))
             arms.append(F.struct(F.lit(2 * a + side).alias("n"), *((moved if b == a else F.col(c)).alias(c) for b, c in enumerate("xyz"))))
-    sent = points.withColumn("__a", F.explode(F.array(*arms)))
-    sent = sent.select(F.struct(F.col(key).alias("key"), F.col("__a.n").alias("n")).alias("probe"), *(F.col(f"__a.{p}").alias(p) for p in "xyz"), *(["t"] if "t" in points.columns else []))
-    got = sample(sent, field, "probe").select(F.col("probe.key").alias("__key"), F.col("probe.n").alias("n"), "x", "y", "z", *_V)
-    wide = got.groupBy("__key").agg(*(F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in range(6) for c in (*_V, "xyz"[n // 2])))
+    names = ["x", "y", "z", *(["t"] if "t" in points.columns else [])]
+    sent = points.select(*names).distinct().select(F.struct(*names).alias("place"), *names[3:], F.explode(F.array(*arms)).alias("p"))
+    sent = sent.select("place", "p.n", *(F.col(f"p.{p}").alias(p) for p in "xyz"), *names[3:])
+    wide = sample(sent, field).groupBy("place").agg(*(F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in range(6) for c in (*_V, "xyz"[n // 2])))
     d = {(c, axis): (F.col(f"{c}{2 * a + 1}") - F.col(f"{c}{2 * a}")) / (F.col(f"{'xyz'[a]}{2 * a + 1}") - F.col(f"{'xyz'[a]}{2 * a}")) for c in _V for a, axis in enumerate("ijk")}
     curl = curl_of(d)
-    return points.join(wide.select("__key", *(x.alias(n) for x, n in zip(curl, ("curl_x", "curl_y", "curl_z"), strict=True))), F.col(key) == F.col("__key"), "left").drop("__key")
+    return at_places(points, names, wide.select("place.*", *(x.alias(n) for x, n in zip(curl, ("curl_x", "curl_y", "curl_z"), strict=True))))
 
 
 def vortex_metrics(df: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def iso_cells(field: FlowField, column: str, value: float) -> DataFrame:
 
 
 def iso_surface(field: FlowField, column: str, values: Sequence[float]) -> DataFrame:
-    """Triangles (iso, ci, cj, ck, x0..z2, nx, ny, nz); the normal points to larger values."""
+    """Triangles (t, iso, ci, cj, ck, x0..z2, nx, ny, nz) of every step; the normal points to larger values."""
     lo, spacing = np.array(field.lo), np.array(field.spacing)
     names = [f"{column}{n}" for n in range(8)]
     cells = cells_of(field, [column]).withColumn("iso", F.explode(F.array(*(F.lit(float(v)) for v in values))))
@@ -49,7 +49,7 @@ def iso_surface(field: FlowField, column: str, values: Sequence[float]) -> DataF
         for pdf in parts:
             s = pdf[names].to_numpy(float) - pdf["iso"].to_numpy(float)[:, None]
             base = pdf[["ci", "cj", "ck"]].to_numpy(float)
-            keys = pdf[["iso", "ci", "cj", "ck"]]
+            keys = pdf[["t", "iso", "ci", "cj", "ck"]]
             out = []
             for tet in _TETS:
                 v, at = s[:, tet], base[:, None] + _CORNERS[list(tet)]
@@ -86,8 +86,8 @@ def iso_surface(field: FlowField, column: str, values: Sequence[float]) -> DataF
             res[["nx", "ny", "nz"]] = normal
             yield res
 
-    schema = "iso double, ci int, cj int, ck int, " + ", ".join(f"{p} double" for p in [*points, "nx", "ny", "nz"])
-    return cells.select("iso", "ci", "cj", "ck", *names).mapInPandas(run, schema)
+    schema = "t int, iso double, ci int, cj int, ck int, " + ", ".join(f"{p} double" for p in [*points, "nx", "ny", "nz"])
+    return cells.select("t", "iso", "ci", "cj", "ck", *names).mapInPandas(run, schema)
 
 
 def critical_cells(field: FlowField) -> DataFrame:

@@ -112,14 +112,18 @@ def writer_offsets(points: DataFrame) -> DataFrame:
 
 def nan_separated(rows: DataFrame) -> DataFrame:
     """Lines from a point list (n, x, y, z, t) in which a row of NaN ends a line: the running count
-    of such rows is the line's number."""
-    ends = F.sum(F.when(F.isnan("x"), 1).otherwise(0)).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("seed_id", ends.cast("long")).where(~F.isnan("x"))
+    of such rows is the line's number.  Counts run within ranges of 65,536 rows and over the
+    ranges' totals, so no task sees all rows."""
+    rows = rows.withColumns({"range": F.floor(F.col("n") / 65536), "end": F.when(F.isnan("x"), 1).otherwise(0)})
+    totals = rows.groupBy("range").agg(F.sum("end").alias("all"))
+    before = totals.select("range", F.coalesce(F.sum("all").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = F.sum("end").over(Window.partitionBy("range").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("inner", own).join(before, "range").withColumn("seed_id", (F.col("base") + F.col("inner")).cast("long")).where("end = 0")
     w = Window.partitionBy("seed_id").orderBy("n")
     return out.select("seed_id", (F.row_number().over(w) - 1).cast("int").alias("seq"), *_P, "t")
 
 
-def connect_fragments(fragments: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connect_fragments(fragments: DataFrame) -> DataFrame:
     """Join imported fragments (fragment, seq, x, y, z, t) whose first point is exactly an earlier
     fragment's last one: (trace, seq, ...).
 
@@ -139,7 +143,7 @@ def connect_fragments(fragments: DataFrame, max_rounds: int = 64) -> DataFrame:
     links = links.withColumn("b", F.row_number().over(Window.partitionBy("prev").orderBy("next"))).where("b = 1").select("prev", "next")
     start = fragments.select("fragment").distinct().join(links.withColumnRenamed("next", "fragment"), "fragment", "left")
     jump = shared_table(start.select("fragment", F.coalesce("prev", "fragment").alias("root"), F.when(F.col("prev").isNull(), 0).otherwise(1).alias("depth")), "links")
-    for _ in range(max_rounds):
+    while True:  # a link leads to a smaller number, so chains end, and each round doubles what is followed
         up = jump.select(F.col("fragment").alias("root"), F.col("root").alias("higher"), F.col("depth").alias("more"))
         moved = shared_table(jump.join(up, "root").select("fragment", F.col("higher").alias("root"), (F.col("depth") + F.col("more")).alias("depth")), "links")
         done = moved.join(jump.select("fragment", F.col("root").alias("old")), "fragment").where("root <> old").isEmpty()

@@ -90,30 +90,42 @@ def cell_values(cells: DataFrame, field: FlowField) -> DataFrame:
 
 
 def sample(points: DataFrame, field: FlowField, key: str = "point_id") -> DataFrame:
-    """``key``, ``t`` and (u, v, w) of every point (key, x, y, z[, t]), interpolated in
+    """``points`` (x, y, z[, t] and any other columns) with the (u, v, w) there, interpolated in
     space and between the steps around t; null outside the grid or time range.
 
-    The last step holds at and after its own time only at the range's end; a
-    field of one step ignores t.
+    Every row is sampled by itself, so ``key`` may repeat or be null.  The last
+    step holds at and after its own time only at the range's end; a field of
+    one step ignores t.  A row's corners stay in its task, which adds them up
+    before the only exchange.
     """
     t0, t1 = field.t_range
     at = F.col("t") if "t" in points.columns and field.time_varying else F.lit(float(t0))
-    rows = locate_cells(points.withColumn("__t", at.cast("double")), field)
+    rows = points.select(F.monotonically_increasing_id().alias("__row"), F.struct(*points.columns).alias("__point"), *_P, at.cast("double").alias("__t"))
+    rows = locate_cells(rows, field)
     ok = (F.col("cell") >= 0) & F.col("__t").between(t0, t1)
     low = F.floor("__t").cast("int")
     part = F.col("__t") - low
     steps = F.array(F.struct(low.alias("t"), (F.lit(1.0) - part).alias("share")), F.struct(F.least(low + 1, F.lit(t1)).alias("t"), part.alias("share")))
     if not field.time_varying:
         steps = F.array(F.struct(F.lit(t0).alias("t"), F.lit(1.0).alias("share")))
-    inside = rows.where(ok).select(F.col(key).alias("__key"), "ci", "cj", "ck", "a", "b", "c", F.explode(steps).alias("s"))
-    inside = inside.where(F.col("s.share") != 0)
-    corners = cell_vertices(inside.select("__key", F.col("s.t").alias("t"), F.col("s.share").alias("share"), "ci", "cj", "ck", "a", "b", "c"), field)
+    steps = F.filter(steps, lambda s: s["share"] != 0)
+    rows = rows.select("__row", "__point", "ci", "cj", "ck", "a", "b", "c", F.explode_outer(F.when(ok, steps)).alias("s"))
+    corners = cell_vertices(rows.select("__row", "__point", F.col("s.t").alias("t"), F.col("s.share").alias("share"), "ci", "cj", "ck", "a", "b", "c"), field)
     weight = F.col("share")
     for bit, f in enumerate("abc"):
         weight = weight * F.when(F.shiftright("corner", bit).bitwiseAND(F.lit(1)) == 1, F.col(f)).otherwise(F.lit(1.0) - F.col(f))
-    valued = corners.withColumn("weight", weight).join(_nodes(field), ["t", "i", "j", "k"])
-    sums = valued.groupBy("__key").agg(*(F.sum(F.col("weight") * F.col(v)).alias(v) for v in ("u", "v", "w")))
-    return points.join(sums, F.col(key) == F.col("__key"), "left").drop("__key")
+    valued = corners.withColumn("weight", weight).join(_nodes(field), ["t", "i", "j", "k"], "left")
+    sums = valued.groupBy("__row", "__point").agg(*(F.sum(F.col("weight") * F.col(v)).alias(v) for v in ("u", "v", "w")))
+    return sums.select("__point.*", "u", "v", "w")
+
+
+def at_places(points: DataFrame, names: list[str], found: DataFrame) -> DataFrame:
+    """``points`` with the columns of ``found``, one row a place (``names``); null where it has none."""
+    right = found.withColumnsRenamed({n: f"__{n}" for n in names})
+    on = F.lit(True)
+    for n in names:
+        on = on & (F.col(n) == F.col(f"__{n}"))
+    return points.join(right, on, "left").drop(*(f"__{n}" for n in names))
 
 
 def cell_volume(field: FlowField) -> float:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linalg import cross, dot
+from .locate import at_places
 
 _P = ("x", "y", "z")
 
@@ -89,21 +90,21 @@ def _candidates(points: DataFrame, cells: DataFrame, corners: int, slack: float)
 
 def locate_tets(points: DataFrame, tets: DataFrame, vertices: DataFrame, key: str = "point_id", tolerance: float = 1e-9) -> DataFrame:
     """Points (key, x, y, z) with tid and natural coordinates (b1, b2, b3); null where no cell holds them."""
-    found = _candidates(points.select(key, *_P), with_corners(tets, vertices), 4, tolerance)
+    found = _candidates(points.select(*_P).distinct(), with_corners(tets, vertices), 4, tolerance)
     b = natural_coordinates()
     found = found.withColumns(dict(zip(("b1", "b2", "b3"), b, strict=True)))
     inside = (F.least("b1", "b2", "b3", F.lit(1.0) - F.col("b1") - F.col("b2") - F.col("b3")) >= -tolerance) & F.col("b1").isNotNull()
-    best = found.where(inside).groupBy(F.col(key).alias("__key")).agg(F.min(F.struct("tid", "b1", "b2", "b3", "v0", "v1", "v2", "v3")).alias("c")).select("__key", "c.*")
-    return points.join(best, F.col(key) == F.col("__key"), "left").drop("__key")
+    best = found.where(inside).groupBy(*_P).agg(F.min(F.struct("tid", "b1", "b2", "b3", "v0", "v1", "v2", "v3")).alias("c")).select(*_P, "c.*")
+    return at_places(points, list(_P), best)
 
 
 def sample_tets(points: DataFrame, tets: DataFrame, vertices: DataFrame, values: DataFrame, key: str = "point_id") -> DataFrame:
-    """Points with (u, v, w) of the barycentric blend of ``values`` (vid, u, v, w)."""
-    at = locate_tets(points, tets, vertices, key).where("tid IS NOT NULL")
+    """Points with (u, v, w) of the barycentric blend of ``values`` (vid, u, v, w); ``key`` may repeat."""
+    at = locate_tets(points.select(*_P).distinct(), tets, vertices, key).where("tid IS NOT NULL")
     weights = F.array(*(F.struct(F.col(f"v{n}").alias("vid"), (F.lit(1.0) - F.col("b1") - F.col("b2") - F.col("b3") if n == 0 else F.col(f"b{n}")).alias("weight")) for n in range(4)))
-    parts = at.select(F.col(key).alias("__key"), F.explode(weights).alias("p")).select("__key", "p.vid", "p.weight").join(values, "vid")
-    sums = parts.groupBy("__key").agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("u", "v", "w")))
-    return points.join(sums, F.col(key) == F.col("__key"), "left").drop("__key")
+    parts = at.select(*_P, F.explode(weights).alias("p")).select(*_P, "p.vid", "p.weight").join(values, "vid")
+    sums = parts.groupBy(*_P).agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("u", "v", "w")))
+    return at_places(points, list(_P), sums)
 
 
 def tet_position(df: DataFrame) -> DataFrame:
@@ -148,34 +149,33 @@ def inverse_map(corners: np.ndarray, points: np.ndarray, rounds: int = 20) -> tu
 
 def locate_hexes(points: DataFrame, vertices: DataFrame, dims: tuple[int, int, int], key: str = "point_id", tolerance: float = 1e-9) -> DataFrame:
     """Points with cell, (ci, cj, ck) and local coordinates (a, b, c) on a curvilinear grid; null outside."""
-    found = _candidates(points.select(F.col(key).alias("__key"), *_P), hex_cells(vertices, dims), 8, tolerance)
+    found = _candidates(points.select(*_P).distinct(), hex_cells(vertices, dims), 8, tolerance)
     names = [f"{p}{n}" for n in range(8) for p in _P]
 
     def run(parts):
         for pdf in parts:
             local, ok = inverse_map(pdf[names].to_numpy(float).reshape(-1, 8, 3), pdf[list(_P)].to_numpy(float))
             use = ok & (local >= -tolerance).all(1) & (local <= 1 + tolerance).all(1)
-            out = pdf.loc[use, ["__key", "cell", "ci", "cj", "ck"]].copy()
+            out = pdf.loc[use, [*_P, "cell", "ci", "cj", "ck"]].copy()
             out[["a", "b", "c"]] = np.clip(local[use], 0, 1)
             yield out
 
-    kind = dict(points.dtypes)[key]
-    hit = found.select("__key", "cell", "ci", "cj", "ck", *_P, *names).mapInPandas(run, f"__key {kind}, cell long, ci int, cj int, ck int, a double, b double, c double")
-    best = hit.groupBy("__key").agg(F.min(F.struct("cell", "ci", "cj", "ck", "a", "b", "c")).alias("h")).select("__key", "h.*")
-    return points.join(best, F.col(key) == F.col("__key"), "left").drop("__key")
+    hit = found.select(*_P, "cell", "ci", "cj", "ck", *names).mapInPandas(run, "x double, y double, z double, cell long, ci int, cj int, ck int, a double, b double, c double")
+    best = hit.groupBy(*_P).agg(F.min(F.struct("cell", "ci", "cj", "ck", "a", "b", "c")).alias("h")).select(*_P, "h.*")
+    return at_places(points, list(_P), best)
 
 
 def sample_hexes(points: DataFrame, vertices: DataFrame, nodes: DataFrame, dims: tuple[int, int, int], key: str = "point_id") -> DataFrame:
-    """Points with (u, v, w) by trilinear blend in their curvilinear cell."""
-    at = locate_hexes(points, vertices, dims, key).where("cell IS NOT NULL")
+    """Points with (u, v, w) by trilinear blend in their curvilinear cell; ``key`` may repeat."""
+    at = locate_hexes(points.select(*_P).distinct(), vertices, dims, key).where("cell IS NOT NULL")
     corners = F.array(*(F.struct(*(F.lit(n >> m & 1).alias(q) for m, q in enumerate("abc"))) for n in range(8)))
-    rows = at.select(F.col(key).alias("__key"), "ci", "cj", "ck", "a", "b", "c", F.explode(corners).alias("o"))
+    rows = at.select(*_P, "ci", "cj", "ck", "a", "b", "c", F.explode(corners).alias("o"))
     weight = F.lit(1.0)
     for q in "abc":
         weight = weight * F.when(F.col(f"o.{q}") == 1, F.col(q)).otherwise(F.lit(1.0) - F.col(q))
-    rows = rows.select("__key", weight.alias("weight"), *((F.col(f"c{p}") + F.col(f"o.{q}")).alias(p) for p, q in zip("ijk", "abc", strict=True)))
-    sums = rows.join(nodes.select("i", "j", "k", "u", "v", "w"), ["i", "j", "k"]).groupBy("__key").agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("u", "v", "w")))
-    return points.join(sums, F.col(key) == F.col("__key"), "left").drop("__key")
+    rows = rows.select(*_P, weight.alias("weight"), *((F.col(f"c{p}") + F.col(f"o.{q}")).alias(p) for p, q in zip("ijk", "abc", strict=True)))
+    sums = rows.join(nodes.select("i", "j", "k", "u", "v", "w"), ["i", "j", "k"]).groupBy(*_P).agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("u", "v", "w")))
+    return at_places(points, list(_P), sums)
 
 
 def surface_box(vertices: DataFrame, dims: tuple[int, int, int]) -> DataFrame:

@@ -114,11 +114,25 @@ def block_seeds(blocks: DataFrame, n: int, run_seed: int = 0, first_time_only: b
     return out.select("seed_id", *at, F.col("real_lo_t").cast("double").alias("t"), F.col("gid").alias("block"))
 
 
+def curvilinear_block_seeds(blocks: DataFrame, vertices: DataFrame, dims: tuple[int, int, int], n: int, run_seed: int = 0) -> DataFrame:
+    """``block_seeds`` drawn in index space (ci, cj, ck) and placed by the trilinear blend of the
+    curvilinear grid's vertices (i, j, k, x, y, z)."""
+    from ..field import FlowField
+    from .locate import sample
+
+    places = FlowField.of(vertices.select(F.lit(0).alias("t"), "i", "j", "k", F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w")), dims)
+    seeds = block_seeds(blocks, n, run_seed).withColumnRenamed("t", "at")
+    out = sample(seeds, places, "seed_id")
+    return out.select("seed_id", *(F.col(c).alias(p) for c, p in zip("uvw", "xyz", strict=True)), F.col("at").alias("t"), "block", *(F.col(p).alias(f"c{c}") for p, c in zip("xyz", "ijk", strict=True)))
+
+
 def assign_seeds(seeds: DataFrame, blocks: DataFrame) -> DataFrame:
     """Seeds (with t) with the lowest-numbered block whose real box holds them; -1 for none.
-    Blocks are broadcast only up to 100,000 rows (their number is known at plan time)."""
-    inside = F.lit(True)
-    for p in "xyzt":
-        inside = inside & F.col(p).between(F.col(f"real_lo_{p}"), F.col(f"real_hi_{p}"))
-    hit = seeds.join(F.broadcast(blocks), inside).groupBy("seed_id").agg(F.min("gid").alias("block"))
-    return seeds.join(hit, "seed_id", "left").withColumn("block", F.coalesce("block", F.lit(-1)))
+    Places, not ids, meet the blocks, by bins (``blocks.holding``), so ids may repeat."""
+    from .blocks import holding
+    from .locate import at_places
+
+    names = ["x", "y", "z", "t"]
+    boxes = blocks.select("gid", *(f"real_{s}_{p}" for s in ("lo", "hi") for p in names))
+    hit = holding(seeds.select(*names).distinct(), boxes).groupBy(*names).agg(F.min("gid").alias("block"))
+    return at_places(seeds, names, hit).withColumn("block", F.coalesce("block", F.lit(-1)))

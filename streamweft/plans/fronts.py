@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..field import FlowField
 from ..schema import Order
 from .rounds import shared_table
-from .tracing import advect_interval
+from .tracing import advect_interval, dense_grid
 
 LIFE = 200
 
@@ -17,12 +17,13 @@ def _fronts(field: FlowField, seeds: DataFrame, step: float, every: int, life: i
     start, end = t_range or tuple(map(float, field.t_range))
     columns = ["particle", "trace_id", "born", "x", "y", "z"]
     n, alive, history, now = 0, None, None, start
+    grid = seeds.sparkSession.sparkContext.broadcast(dense_grid(field))
     while now < end:
         later = min(now + step, end)
         if n % every == 0:
             fresh = seeds.select((F.lit(n).cast("long") * (1 << 32) + F.col("seed_id")).alias("particle"), F.col("seed_id").alias("trace_id"), F.lit(n).alias("born"), "x", "y", "z")
             alive = fresh if alive is None else alive.select(*columns).unionByName(fresh)
-        moved = advect_interval(field, alive.withColumnRenamed("particle", "seed_id"), now, later, order).where("status = 'OKAY'")
+        moved = advect_interval(field, alive.withColumnRenamed("particle", "seed_id"), now, later, order, grid).where("status = 'OKAY'")
         moved = moved.select(F.col("seed_id").alias("particle"), "x", "y", "z", "t").join(alive.select("particle", "trace_id", "born"), "particle")
         moved = moved.where(F.lit(n + 1) - F.col("born") <= life)
         if cap is not None:  # the oldest beyond the cap go

@@ -34,6 +34,8 @@ class Grid:
     run_seed: int = 0
     normalize: bool = False
     real_t: tuple[float, float] | None = None
+    #: Of a brick: the whole domain (lo, hi of x, y, z, t).  ``short`` gets the keys of particles of which a step asked for a place in it beyond the brick.
+    domain: tuple[np.ndarray, np.ndarray] | None = None
 
     def __post_init__(self) -> None:
         self.lo, self.hi, self.real_lo, self.real_hi = (np.asarray(a, float) for a in (self.lo, self.hi, self.real_lo, self.real_hi))
@@ -44,6 +46,8 @@ class Grid:
         self.real_t = self.real_t or (self.t0, self.t1)
         self.time_varying = nt > 1
         self.calls = 0
+        self.short: set[int] = set()
+        self.watch = False
 
     def cell_size(self) -> float:
         return float(np.prod(self.spacing)) ** (1 / 3)
@@ -52,6 +56,9 @@ class Grid:
         ok = ((p >= self.lo) & (p <= self.hi)).all(1)
         if self.time_varying:
             ok &= (t >= self.t0) & (t <= self.t1)
+        if self.watch and self.domain is not None and not ok.all():
+            q = np.column_stack([p, t])
+            self.short.update(row[~ok & ((q >= self.domain[0]) & (q <= self.domain[1])).all(1)].tolist())
         g = np.where(ok[:, None], (p - self.lo) / self.spacing, 0.0)
         c = np.minimum(np.floor(g).astype(np.int64), np.maximum(self.dims - 2, 0))
         f = g - c
@@ -147,11 +154,13 @@ def _turn(before: np.ndarray, at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.degrees(np.arccos(np.clip(cosine, -1, 1)))
 
 
-def trace(grid: Grid, seeds: np.ndarray, times: np.ndarray, sign: np.ndarray, keys: np.ndarray, options: Integration, max_points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def trace(grid: Grid, seeds: np.ndarray, times: np.ndarray, sign: np.ndarray, keys: np.ndarray, options: Integration, max_points: int, carry: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Trace a batch: (row, seq, position, time) of all points and each particle's status.
 
     Every particle has its own step and state; a batch advances until none runs.
     A steady field is sampled at the seed's time, an unsteady one at the current time.
+    ``carry`` has the step ``h`` (NaN: the first one) and the ``previous`` point (NaN: none)
+    of particles that go on with a line, and gets those after their last step.
     """
     n = len(seeds)
     if not n:
@@ -170,13 +179,21 @@ def trace(grid: Grid, seeds: np.ndarray, times: np.ndarray, sign: np.ndarray, ke
     if options.order is Order.RK45 and options.adaptive:
         h = np.clip(h, options.min_step, options.max_step)
     previous, count = p.copy(), np.ones(n, np.int64)
+    if carry is not None:
+        h = np.where(np.isnan(carry["h"]), h, carry["h"])
+        going = ~np.isnan(carry["previous"]).any(1)
+        previous[going] = carry["previous"][going]
+        carry["h"], carry["previous"] = h, previous
+    third_from = 2 if carry is None else np.where(going, 1, 2)
     state[live & (count >= max_points)] = _MAX
     angled = options.order is not Order.RK45 and options.adaptive
     while True:
         a = np.flatnonzero(state == _RUN)
         if not len(a):
             break
+        grid.watch = True
         new, ok, error = step(grid.sample, options.order, p[a], t[a], h[a], sign[a], keys[a])
+        grid.watch = False
         # a stage outside: end at once, or with a tenth of the step down to the least one
         out = a[~ok]
         if len(out):
@@ -195,7 +212,7 @@ def trace(grid: Grid, seeds: np.ndarray, times: np.ndarray, sign: np.ndarray, ke
             grown = np.where(e > 1.89e-4, 0.9 * h[a] * safe**-0.2, 5 * h[a])
             following = np.clip(np.where(accept, grown, shrunk), options.min_step, options.max_step)
         elif angled:
-            third = count[a] >= 2
+            third = count[a] >= (third_from if carry is None else third_from[a])
             turn = np.where(third, _turn(previous[a], p[a], new), 0.0)
             sharp = third & (turn > options.high_angle)
             accept = ~sharp | (h[a] <= options.min_step)

@@ -1,8 +1,9 @@
 """Streamlines, pathlines and their relatives.
 
 A field whose dense size is at most ``BROADCAST_BYTES`` (known from its grid)
-goes to every executor once and seeds are traced in batches; a larger one stays
-partitioned by block and particles travel (``rounds``).
+goes to every executor once and seeds are traced in batches.  Stream- and
+pathlines of a larger one are traced by blocks (``rounds``): the field stays
+partitioned and particles travel; an uncertain field has to fit.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from ..schema import TRACE_ROWS, Direction, Integration, Order
 from .kernel import STATUS, Grid, clip_share, step, trace
 
 BROADCAST_BYTES = 256 << 20
+#: Values of a block of a larger field, without ghosts.
+BLOCK_BYTES = 32 << 20
 
 
 def dense_grid(field: FlowField, run_seed: int = 0, normalize: bool = False) -> Grid:
@@ -75,18 +79,53 @@ def _trace(field: FlowField, seeds: DataFrame, direction: Direction, options: In
     return rows.mapInArrow(run, TRACE_ROWS)
 
 
+def _by_blocks(field: FlowField, seeds: DataFrame, direction: Direction, options: Integration, max_points: int, least: int, empty: bool, normalize: bool) -> DataFrame:
+    """The rows of ``_trace`` by blocks.  Ghost layers reach as far as the longest step does at the
+    field's largest speed (one aggregation)."""
+    from .rounds import trace_by_blocks
+
+    if {"su", "sv", "sw"} <= set(field.nodes.columns):
+        raise ValueError("an uncertain field is too large to broadcast")
+    longest = options.max_step if options.adaptive else options.step
+    fastest = 1.0 if normalize else float(field.nodes.agg(F.max(F.greatest(F.abs("u"), F.abs("v"), F.abs("w")))).first()[0] or 0.0)
+    ghost = int(np.ceil(2 * longest * fastest / min(field.spacing))) + 1
+    n_blocks = max(1, int(np.ceil(field.size_bytes() / BLOCK_BYTES)))
+    out = None
+    for s in _signs(direction):
+        got = trace_by_blocks(field, seeds, n_blocks, options, max_points, ghost, direction=int(s), normalize=normalize, with_status=True)
+        last = got.groupBy("seed_id").agg(F.max_by("status", F.struct("round", "seq")).alias("status"), F.count("*").alias("n"))
+        w = Window.partitionBy("seed_id").orderBy("round", "seq")
+        lines = got.drop("status").withColumn("seq", (F.row_number().over(w) - 1).cast("int")).join(last.where(F.col("n") >= least), "seed_id")
+        lines = lines.select("seed_id", F.lit(int(s)).alias("dir"), "seq", "x", "y", "z", "t", "status")
+        if empty:
+            gone = seeds.join(last.select("seed_id"), "seed_id", "left_anti")
+            inside = F.lit(True)
+            for p, a, b in zip("xyz", field.lo, field.hi, strict=True):
+                inside = inside & F.col(p).between(float(a), float(b))
+            null = [F.lit(None).cast("int").alias("seq"), *(F.lit(None).cast("double").alias(c) for c in "xyzt")]
+            lines = lines.unionByName(gone.select("seed_id", F.lit(int(s)).alias("dir"), *null, F.when(inside, F.lit("CRITICAL")).otherwise(F.lit("OUT_OF_BOUND")).alias("status")))
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
 def streamlines(field: FlowField, seeds: DataFrame, direction: Direction = Direction.BOTH, options: Integration = Integration(), max_points: int = 1000, emit_empty: bool = False, run_seed: int = 0, normalize: bool = False) -> DataFrame:
     """Trace points (seed_id, dir, seq, x, y, z, t, status) of steady lines, dir -1 and 1.
 
-    A seed outside or at rest has no points; with ``emit_empty`` it has one row
+    Seed ids are unique where the field is traced by blocks.  A seed outside or at rest has no points; with ``emit_empty`` it has one row
     with null seq and its status.  An uncertain field draws at each lookup.
     """
+    if field.size_bytes() > BROADCAST_BYTES:
+        t0 = field.t_range[0]
+        steady = field.with_nodes(field.nodes.where(F.col("t") == t0), t_range=(t0, t0)) if field.time_varying else field
+        return _by_blocks(steady, seeds, direction, options, max_points, 1, emit_empty, normalize)
     return _trace(field, seeds, direction, options, max_points, run_seed, 1, True, emit_empty, normalize)
 
 
 def pathlines(field: FlowField, seeds: DataFrame, direction: Direction = Direction.FORWARD, options: Integration = Integration(), max_points: int = 1000) -> DataFrame:
     """Trace points of unsteady lines from seeds with their own t (or the field's first step);
     lines of one point are left out."""
+    if field.size_bytes() > BROADCAST_BYTES:
+        return _by_blocks(field, seeds, direction, options, max_points, 2, False, False)
     return _trace(field, seeds, direction, options, max_points, 0, 2, False, False, False)
 
 
@@ -105,10 +144,11 @@ def advect_once(field: FlowField, points: DataFrame, h: float, order: Order = Or
     return points.select("seed_id", "x", "y", "z", F.col("t").cast("double").alias("t")).mapInArrow(run, "seed_id long, x double, y double, z double, t double, status string")
 
 
-def advect_interval(field: FlowField, points: DataFrame, start: float, end: float, order: Order = Order.FOURTH) -> DataFrame:
-    """Particles from time ``start`` to ``end`` (either way) in two equal steps."""
+def advect_interval(field: FlowField, points: DataFrame, start: float, end: float, order: Order = Order.FOURTH, grid: Broadcast | None = None) -> DataFrame:
+    """Particles from time ``start`` to ``end`` (either way) in two equal steps.  ``grid`` is the
+    field's broadcast, if the caller has it already."""
     h, sign = abs(end - start) / 2, 1 if end >= start else -1
-    grid = points.sparkSession.sparkContext.broadcast(dense_grid(field))
+    grid = grid or points.sparkSession.sparkContext.broadcast(dense_grid(field))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,6 +163,23 @@ def advect_interval(field: FlowField, points: DataFrame, start: float, end: floa
     return points.select("seed_id", "x", "y", "z").mapInArrow(run, "seed_id long, x double, y double, z double, t double, status string")
 
 
+def _meets_itself(row: np.ndarray, place: np.ndarray, tolerance: float) -> np.ndarray:
+    """Whether an earlier point of the same line lies in the same cell of width ``tolerance`` or in
+    one beside it.  Points are sorted by line and number; cells are compared by 64-bit hashes."""
+    mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+    cell = np.floor(place / tolerance).astype(np.int64)
+    code = lambda c: (c.astype(np.uint64) * mix).sum(1, dtype=np.uint64) ^ (row.astype(np.uint64) * np.uint64(0x27D4EB2F165667C5))
+    own = code(cell)
+    first, at = np.unique(own, return_index=True)  # the earliest point of each cell
+    out = np.zeros(len(row), bool)
+    for n in range(27):
+        asked = code(cell + np.array([n % 3 - 1, n // 3 % 3 - 1, n // 9 - 1]))
+        k = np.minimum(np.searchsorted(first, asked), max(len(first) - 1, 0))
+        if len(first):
+            out |= (first[k] == asked) & (at[k] < np.arange(len(row)))
+    return out
+
+
 def infinite_lines(field: FlowField, seeds: DataFrame, options: Integration = Integration(), direction: int = 1, length: float = 4000.0, tolerance: float = 1e-6, max_points: int = 10_000) -> DataFrame:
     """Steady lines until they leave the domain (the last point lies on the boundary), meet one
     of their own points, come to rest, or have taken steps of ``length`` in all."""
@@ -133,35 +190,39 @@ def infinite_lines(field: FlowField, seeds: DataFrame, options: Integration = In
             g, ids = grid.value, batch.column("seed_id").to_numpy()
             p = np.stack([batch.column(c).to_numpy() for c in "xyz"], 1)
             row, seq, place, when, state = trace(g, p, np.full(len(p), g.t0), np.full(len(p), float(direction)), ids, options, max_points)
-            out = []
-            for r in range(len(ids)):
-                own = np.flatnonzero(row == r)
-                own = own[np.argsort(seq[own])]
-                line, status = list(place[own]), STATUS[state[r]]
-                steps = np.abs(np.diff(when[own], prepend=g.t0)).cumsum()
-                seen: dict[tuple, int] = {}
-                for n, q in enumerate(line):
-                    cell = tuple(np.floor(q / tolerance).astype(np.int64))
-                    near = any((cell[0] + a, cell[1] + b, cell[2] + c) in seen for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))
-                    if near or steps[n] > length:
-                        line, status = line[: n + 1], "LOOP" if near else "MAX_LENGTH"
-                        break
-                    seen[cell] = n
-                else:
-                    if line and status in ("OUT_OF_BOUND", "OKAY"):
-                        tail = line[-1]
-                        if status == "OUT_OF_BOUND" and len(line) > 1:
-                            line[-1] = line[-2] + clip_share(line[-2][None], tail[None], g.real_lo, g.real_hi)[0] * (tail - line[-2])
-                        else:
-                            v, ok = g.sample(tail[None], np.array([g.t0]), ids[r : r + 1])
-                            if ok[0] and np.abs(v).max() > 0:
-                                far = tail + direction * v[0] / np.linalg.norm(v[0]) * np.linalg.norm(g.hi - g.lo)
-                                line.append(tail + clip_share(tail[None], far[None], g.real_lo, g.real_hi)[0] * (far - tail))
-                        status = "OUT_OF_BOUND"
-                out += [(ids[r], direction, n, *map(float, q), float(n), status) for n, q in enumerate(line)]
-            columns = list(zip(*out, strict=True)) if out else [[] for _ in range(8)]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 4, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["seed_id", "dir", "seq", "x", "y", "z", "t", "status"])
+            order = np.lexsort((seq, row))
+            row, seq, place, when = row[order], seq[order], place[order], when[order]
+            n = len(row)
+            head = np.append(True, row[1:] != row[:-1])[:n]
+            steps = np.abs(np.diff(when, prepend=when[:1]))
+            steps[head] = 0.0
+            run_ = np.cumsum(steps)
+            far = run_ - np.repeat(run_[head], np.diff(np.append(np.flatnonzero(head), n))) > length
+            near = _meets_itself(row, place, tolerance)
+            ends = np.full(len(ids), 1 << 62)
+            stop = near | far
+            np.minimum.at(ends, row[stop], seq[stop])
+            use = seq <= ends[row]
+            status = np.array(STATUS, object)[state]
+            last = np.flatnonzero(stop & (seq == ends[row]))
+            status[row[last]] = np.where(near[last], "LOOP", "MAX_LENGTH")
+            row, seq, place = row[use], seq[use], place[use]
+            tail = np.flatnonzero(np.append(row[1:] != row[:-1], True)[: len(row)])
+            out = tail[(status[row[tail]] == "OUT_OF_BOUND") & (seq[tail] > 0)]
+            place[out] = place[out - 1] + clip_share(place[out - 1], place[out], g.real_lo, g.real_hi)[:, None] * (place[out] - place[out - 1])
+            on = tail[(status[row[tail]] == "OKAY") | ((status[row[tail]] == "OUT_OF_BOUND") & (seq[tail] == 0))]
+            v, ok = g.sample(place[on], np.full(len(on), g.t0), ids[row[on]])
+            moves = ok & (np.abs(v).max(1) > 0) if len(on) else np.zeros(0, bool)
+            status[row[on]] = "OUT_OF_BOUND"
+            on, v = on[moves], v[moves]
+            end = place[on] + direction * v / np.linalg.norm(v, axis=1, keepdims=True) * np.linalg.norm(g.hi - g.lo)
+            extra = place[on] + clip_share(place[on], end, g.real_lo, g.real_hi)[:, None] * (end - place[on])
+            far = np.abs(extra - place[on]).max(1, initial=0.0) > 1e-9  # else the last point lies on the boundary already
+            on, extra = on[far], extra[far]
+            row, seq, place = np.append(row, row[on]), np.append(seq, seq[on] + 1), np.concatenate([place, extra])
+            columns = [ids[row], np.full(len(row), direction), seq, *place.T, seq.astype(float)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 4)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c), k) for c, k in zip(columns, kinds, strict=True)), pa.array(status[row], pa.string())], names=["seed_id", "dir", "seq", "x", "y", "z", "t", "status"])
 
     return seeds.select("seed_id", "x", "y", "z").mapInArrow(run, TRACE_ROWS)
 

@@ -323,22 +323,6 @@ def curvature(spark, sf_dir):
     return derive.curvature(derive.jacobian_nodes(lineitem_field(spark, sf_dir))).select("t", "i", "j", "k", r6("curvature"))
 
 
-@query()
-def lambda2_gamma2(spark, sf_dir):
-    return derive.vortex_metrics(derive.jacobian_nodes(lineitem_field(spark, sf_dir))).select("t", "i", "j", "k", r6("lambda2"), r6("gamma2"))
-
-
-@query()
-def jacobian_at_points(spark, sf_dir):
-    got = derive.jacobian_at(customer_points(spark, sf_dir), lineitem_field(spark, sf_dir))
-    return got.select("point_id", *(r6(f"j{r}{c}") for r in range(3) for c in range(3)))
-
-
-@query()
-def curl_at_points(spark, sf_dir):
-    return derive.curl_at(customer_points(spark, sf_dir), lineitem_field(spark, sf_dir)).select("point_id", r6("curl_x"), r6("curl_y"), r6("curl_z"))
-
-
 @query()
 def critical_point_kinds(spark, sf_dir):
     return derive.classify_critical_points(isosurface.critical_points(lineitem_field(spark, sf_dir))).select("t", r6("x"), r6("y"), r6("z"), "kind")
@@ -591,16 +575,6 @@ def tet_volumes(spark, sf_dir):
     return mesh.with_corners(tets, vertices).select("tid", F.abs(mesh.tet_volume()).alias("volume"))
 
 
-@query()
-def curvilinear_sample(spark, sf_dir):
-    n = 6
-    ids = F.col("id")
-    lattice = spark.range(n**3).select((ids % n).cast("int").alias("i"), (F.floor(ids / n) % n).cast("int").alias("j"), F.floor(ids / (n * n)).cast("int").alias("k"))
-    vertices = lattice.select("i", "j", "k", (F.col("i") + 0.1 * F.col("j")).alias("x"), (F.col("j") + 0.05 * F.col("k")).alias("y"), (F.col("k") + 0.02 * F.col("i")).alias("z"))
-    nodes = vertices.select("i", "j", "k", F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w"))
-    return mesh.sample_hexes(_mesh_points(spark, sf_dir), vertices, nodes, (n, n, n)).select("point_id", r6("u"), r6("v"), r6("w"))
-
-
 def amr_blocks(spark: SparkSession) -> DataFrame:
     """Three levels of blocks over 12^3: 27 blocks of side 4, refined where x < 8, and again where x < 4;
     raw levels are 2, 5 and 9, and each level's blocks have data where they are leaves, at some of 12 steps."""
@@ -661,6 +635,10 @@ def _seeds(spark, sf_dir):
     return customer_points(spark, sf_dir).select(F.col("point_id").alias("seed_id"), "x", "y", "z")
 
 
+def _small_box_seeds(spark, sf_dir):
+    return customer_points(spark, sf_dir).select(F.col("point_id").alias("seed_id"), *((F.col(p) / 3).alias(p) for p in "xyz"))
+
+
 def _linear_rk(order: str) -> str:
     """Rigid rotation u = -(y - 8) / 5, v = (x - 8) / 5 has an exact polynomial step."""
     f = lambda x, y: (f"(-0.2e0 * ({y} - 8e0))", f"(0.2e0 * ({x} - 8e0))")
@@ -721,25 +699,25 @@ def pathlines_by_blocks(spark, sf_dir):
 
 @query()
 def hand_off_matrix(spark, sf_dir):
-    got = rounds.trace_by_blocks(rotation_field(spark), _rotation_seeds(spark), 4, Integration(order=Order.FOURTH).fixed(0.25), 100)
+    got = rounds.trace_by_blocks(lineitem_field(spark, sf_dir), _seeds(spark, sf_dir), 8, Integration(order=Order.FOURTH).fixed(0.05), 60, ghost=2)
     return aggregate.flow_matrix(rounds.hand_offs(got))
 
 
 @query()
 def streaklines(spark, sf_dir):
-    return fronts.streaklines(rotation_field(spark), _rotation_seeds(spark), 1.0, t_range=(0.0, 6.0))
+    return fronts.streaklines(events_field(spark, sf_dir), _small_box_seeds(spark, sf_dir), 1.0)
 
 
 @query()
 def timelines(spark, sf_dir):
-    return fronts.timelines(rotation_field(spark), _rotation_seeds(spark), 1.0, delay=3, t_range=(0.0, 6.0))
+    return fronts.timelines(events_field(spark, sf_dir), _small_box_seeds(spark, sf_dir), 1.0, delay=3)
 
 
 @query()
 def uncertain_streamlines(spark, sf_dir):
-    field = rotation_field(spark)
-    field = field.with_nodes(field.nodes.withColumns({f"s{c}": F.lit(0.02) for c in "uvw"}))
-    return tracing.uncertain_streamlines(field, _rotation_seeds(spark), 5, 3, direction=Direction.FORWARD, options=Integration(order=Order.FOURTH).fixed(0.25), max_points=20)
+    field = lineitem_field(spark, sf_dir)
+    field = field.with_nodes(field.nodes.withColumns({f"s{c}": F.abs(c) / 10.0 for c in "uvw"}))
+    return tracing.uncertain_streamlines(field, _seeds(spark, sf_dir), 5, 3, direction=Direction.FORWARD, options=Integration(order=Order.FOURTH).fixed(0.25), max_points=20)
 
 
 @query()

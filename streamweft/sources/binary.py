@@ -1,12 +1,13 @@
 """Dense binary fields: float32 triples, x fastest, with or without a header of three int32.
 
-``VecDataSource`` registers as format "vec": partitions are slabs of z, and
-filters on k, j and i narrow the slabs and rows that are read at all.
+``VecDataSource`` registers as format "vec": partitions are slabs of z of a step,
+and filters on t, k, j and i narrow the steps, slabs and rows that are read at all.
 """
 
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -48,11 +49,19 @@ class _VecReader(DataSourceReader):
         self.lo = list(map(int, options.get("min", "0,0,0").split(",")))
         self.hi = list(map(int, options["max"].split(","))) if "max" in options else [n - 1 for n in self.dims]
         self.t0, self.t1 = int(options.get("min_t", 0)), int(options.get("max_t", -1))
+        self.none = False
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if name in ("i", "j", "k") and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.value is not None:
+            if name == "t" and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.value is not None:
+                if isinstance(f, (EqualTo, GreaterThanOrEqual, GreaterThan)):
+                    self.t0 = max(self.t0, int(f.value) + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThanOrEqual, LessThan)):
+                    last = int(f.value) - isinstance(f, LessThan)
+                    self.t1 = last if self.t1 < 0 else min(self.t1, last)
+                    self.none |= last < 0
+            elif name in ("i", "j", "k") and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.value is not None:
                 a = "ijk".index(name)
                 if isinstance(f, (EqualTo, GreaterThanOrEqual, GreaterThan)):
                     self.lo[a] = max(self.lo[a], int(f.value) + isinstance(f, GreaterThan))
@@ -63,12 +72,15 @@ class _VecReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out = []
-        if any(a > b for a, b in zip(self.lo, self.hi, strict=True)):
+        if self.none or any(a > b for a, b in zip(self.lo, self.hi, strict=True)):
             return []
         plane = (self.hi[0] - self.lo[0] + 1) * (self.hi[1] - self.lo[1] + 1)
         thick = max(1, SLAB_NODES // plane)
         for t, path in enumerate(self.files):
-            if t < self.t0 or (self.t1 >= 0 and t > self.t1) or not os.path.exists(path):
+            if t < self.t0 or (self.t1 >= 0 and t > self.t1):
+                continue
+            if not os.path.exists(path):
+                warnings.warn(f"{path} can't be read: step {t} is left out", stacklevel=2)
                 continue
             for k in range(self.lo[2], self.hi[2] + 1, thick):
                 out.append(_Slab(path, t, (self.lo[0], self.lo[1], k), (self.hi[0], self.hi[1], min(k + thick - 1, self.hi[2]))))

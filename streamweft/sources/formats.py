@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Sequence
+from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,12 @@ from pyspark.sql import functions as F
 
 from ..field import FlowField
 from ..operators.transform import momentum_to_velocity
+from ..schema import NODES, DataMode
+from .binary import read_series, read_vec
+from .lists import read_list
+
+#: Text files are read and written whole, up to so many bytes.
+FILE_BYTES = 256 << 20
 
 
 def _dims_of(path: str, endian: str) -> tuple[int, int, int]:
@@ -186,63 +194,184 @@ def write_volume(df: DataFrame, dims: Sequence[int], column: str, path: str) ->
         f.write(f"NRRD0004\ntype: float\ndimension: 3\nsizes: {nx} {ny} {nz}\nencoding: raw\nendian: little\ndata file: {name}.raw\n")
 
 
-def read_netcdf(path: str, names: Sequence[str | None], fills: Sequence[float | None] = (None, None, None), order: str = "zyx") -> np.ndarray:
-    """(nz, ny, nx, 3) velocities of a NetCDF classic file (versions 1 and 2, fixed dimensions);
-    a name of None gives zeros, fill values become zero, ``order`` names the stored axes."""
+def read_volume(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(i, j, k, column) of a volume that ``write_volume`` wrote, a task a z slab."""
+    with open(f"{path}.nhdr", encoding="ascii") as f:
+        lines = dict(line.strip().split(": ", 1) for line in f if ": " in line)
+    dims = tuple(map(int, lines["sizes"].split()))
+    return _planes(spark, os.path.join(os.path.dirname(path), lines["data file"]), dims, 0, [column], "<")
+
+
+_NC_WIDTH = {1: 1, 2: 1, 3: 2, 4: 4, 5: 4, 6: 8}
+_NC_KIND = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
+
+
+def netcdf_variables(path: str) -> dict[str, tuple[str, tuple[int, ...], int]]:
+    """(number type, shape, offset) of the variables of a NetCDF classic file (versions 1 and 2, fixed dimensions); reads its header alone."""
     with open(path, "rb") as f:
-        data = f.read()
-    if data[:3] != b"CDF" or data[3] not in (1, 2):
-        raise ValueError("not a NetCDF classic file")
-    at = 8
-
-    def number() -> int:
-        nonlocal at
-        at += 4
-        return struct.unpack_from(">i", data, at - 4)[0]
-
-    def text() -> str:
-        nonlocal at
-        n = number()
-        s = data[at : at + n].decode()
-        at += (n + 3) // 4 * 4
-        return s
-
-    width = {1: 1, 2: 1, 3: 2, 4: 4, 5: 4, 6: 8}
-    kind = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
-
-    def attributes() -> None:
-        nonlocal at
-        number()
-        for _ in range(number()):
-            text()
-            k = number()
+        if (magic := f.read(4))[:3] != b"CDF" or magic[3] not in (1, 2):
+            raise ValueError("not a NetCDF classic file")
+        number = lambda: struct.unpack(">i", f.read(4))[0]
+
+        def text() -> str:
             n = number()
-            at += (n * width[k] + 3) // 4 * 4
-
-    number()
-    dims = [(text(), number()) for _ in range(number())]
-    attributes()
-    found: dict[str, np.ndarray] = {}
-    number()
-    for _ in range(number()):
-        name = text()
-        shape = [dims[number()][1] for _ in range(number())]
+            return f.read((n + 3) // 4 * 4)[:n].decode()
+
+        def attributes() -> None:
+            number()
+            for _ in range(number()):
+                text()
+                k, n = number(), number()
+                f.seek((n * _NC_WIDTH[k] + 3) // 4 * 4, 1)
+
+        number()
+        number()
+        dims = [(text(), number()) for _ in range(number())]
         attributes()
-        k = number()
+        found = {}
         number()
-        at += 4 if data[3] == 1 else 8
-        begin = struct.unpack_from(">i" if data[3] == 1 else ">q", data, at - (4 if data[3] == 1 else 8))[0]
-        found[name] = np.frombuffer(data, kind[k], int(np.prod(shape)), begin).reshape(shape)
-    parts = []
-    for name, fill in zip(names, fills, strict=True):
-        a = np.zeros_like(next(iter(found.values())), float) if name in (None, "NULL") else found[name].astype(float)
-        parts.append(np.where(a == fill, 0.0, a) if fill is not None else a)
-    axes = [order.index(c) for c in "zyx"]
-    return np.stack([np.transpose(np.squeeze(p), axes) for p in parts], -1)
+        for _ in range(number()):
+            name = text()
+            shape = tuple(dims[number()][1] for _ in range(number()))
+            attributes()
+            k = number()
+            number()
+            begin = struct.unpack(">i", f.read(4))[0] if magic[3] == 1 else struct.unpack(">q", f.read(8))[0]
+            found[name] = (_NC_KIND[k], shape, begin)
+        return found
+
+
+def _netcdf_part(path: str, kind: str, shape: Sequence[int], begin: int, order: str, k: int) -> np.ndarray:
+    """The (ny, nx) plane at z = k of a variable whose axes are stored in ``order``; axes of length 1 beyond three are dropped."""
+    data = np.memmap(path, kind, "r", begin, tuple(shape))
+    data = data.reshape([n for n in shape if n > 1] if len(shape) > 3 else shape)
+    return np.array(np.transpose(data, [order.index(c) for c in "zyx"])[k], float)
+
+
+def read_netcdf(path: str, names: Sequence[str | None], fills: Sequence[float | None] = (None, None, None), order: str = "zyx") -> np.ndarray:
+    """(nz, ny, nx, 3) velocities of a NetCDF classic file; a name of None gives zeros, fill values become zero, ``order`` names the stored axes."""
+    found = netcdf_variables(path)
+    one = next(v for n, v in found.items() if n in names)
+    dims = [n for n in one[1] if n > 1] if len(one[1]) > 3 else one[1]
+    nz = dims[order.index("z")]
+    planes = [_netcdf_planes(path, found, names, fills, order, k) for k in range(nz)]
+    return np.stack(planes)
+
+
+def _netcdf_planes(path: str, found: dict, names: Sequence[str | None], fills: Sequence[float | None], order: str, k: int) -> np.ndarray:
+    parts = [None if n in (None, "NULL") else _netcdf_part(path, *found[n], order, k) for n in names]
+    zero = np.zeros_like(next(p for p in parts if p is not None))
+    return np.stack([zero if p is None else np.where(p == fill, 0.0, p) if fill is not None else p for p, fill in zip(parts, fills, strict=True)], -1)
+
+
+def read_netcdf_field(spark: SparkSession, path: str, names: Sequence[str | None], fills: Sequence[float | None] = (None, None, None), order: str = "zyx") -> FlowField:
+    """As ``read_netcdf``, as a field: the driver reads the header, tasks the planes of their z."""
+    found = netcdf_variables(path)
+    shape = next(v for n, v in found.items() if n in names)[1]
+    sizes = [n for n in shape if n > 1] if len(shape) > 3 else shape
+    nx, ny, nz = (sizes[order.index(c)] for c in "xyz")
+
+    def run(batches):
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                v = _netcdf_planes(path, found, names, fills, order, k).reshape(-1, 3)
+                j, i = (a.ravel().astype(np.int32) for a in np.indices((ny, nx)))
+                full = lambda n: pa.array(np.full(nx * ny, n, np.int32))
+                yield pa.RecordBatch.from_arrays([full(0), pa.array(i), pa.array(j), full(k), *(pa.array(np.ascontiguousarray(c)) for c in v.T)], names=["t", "i", "j", "k", "u", "v", "w"])
+
+    return FlowField.of(spark.range(nz).repartition(max(1, min(nz, 256)), "id").mapInArrow(run, NODES), (nx, ny, nz))
+
+
+def write_netcdf(field: FlowField, path: str, names: Sequence[str] = ("u", "v", "w")) -> None:
+    """The first step as a NetCDF classic file with axes z, y, x and float32 variables (fields of checked size)."""
+    v = _dense(field)
+    text = lambda s: struct.pack(">i", len(s)) + s.encode().ljust((len(s) + 3) // 4 * 4, b"\0")
+    head = b"CDF\x02" + struct.pack(">iii", 0, 10, 3) + b"".join(text(c) + struct.pack(">i", n) for c, n in zip("zyx", v.shape[:3], strict=True)) + struct.pack(">iiii", 0, 0, 11, len(names))
+    size = v[..., 0].size * 4
+    fixed = lambda n: text(n) + struct.pack(">iiii", 3, 0, 1, 2) + struct.pack(">iiii", 0, 0, 5, size)
+    begin = len(head) + sum(len(fixed(n)) + 8 for n in names)
+    with open(path, "wb") as f:
+        f.write(head + b"".join(fixed(n) + struct.pack(">q", begin + c * size) for c, n in enumerate(names)))
+        for c in range(len(names)):
+            f.write(v[..., c].astype(">f4").tobytes())
+
+
+def _dense(field: FlowField) -> np.ndarray:
+    """(nz, ny, nx, 3) of the first step on the driver, refused above ``FILE_BYTES``."""
+    if field.size_bytes() > FILE_BYTES:
+        raise ValueError("the field is too large for a text or NetCDF file; write binary files")
+    return field.to_numpy()[0]
+
+
+def write_vti(field: FlowField, path: str) -> None:
+    """An XML image file with one vector array on points (fields of checked size)."""
+    v = _dense(field)
+    extent = " ".join(f"0 {n - 1}" for n in field.dims)
+    origin, spacing = (" ".join(f"{x:.17g}" for x in a) for a in (field.lo, field.spacing))
+    with open(path, "w", encoding="ascii") as f:
+        f.write(f'<VTKFile type="ImageData" version="0.1">\n<ImageData WholeExtent="{extent}" Origin="{origin}" Spacing="{spacing}">\n<Piece Extent="{extent}">\n')
+        f.write('<PointData Vectors="velocity">\n<DataArray type="Float64" Name="velocity" NumberOfComponents="3" format="ascii">\n')
+        np.savetxt(f, v.reshape(-1, 3), fmt="%.17g")
+        f.write("</DataArray>\n</PointData>\n</Piece>\n</ImageData>\n</VTKFile>\n")
+
+
+def write_vts(field: FlowField, vertices: DataFrame, path: str) -> None:
+    """An XML structured-grid file: explicit vertices (i, j, k, x, y, z) and one vector array (fields of checked size)."""
+    v = _dense(field)
+    at = FlowField.of(vertices.select(F.lit(0).alias("t"), "i", "j", "k", F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w")), field.dims).to_numpy()[0]
+    extent = " ".join(f"0 {n - 1}" for n in field.dims)
+    with open(path, "w", encoding="ascii") as f:
+        f.write(f'<VTKFile type="StructuredGrid" version="0.1">\n<StructuredGrid WholeExtent="{extent}">\n<Piece Extent="{extent}">\n')
+        f.write('<PointData Vectors="velocity">\n<DataArray type="Float64" Name="velocity" NumberOfComponents="3" format="ascii">\n')
+        np.savetxt(f, v.reshape(-1, 3), fmt="%.17g")
+        f.write('</DataArray>\n</PointData>\n<Points>\n<DataArray type="Float64" NumberOfComponents="3" format="ascii">\n')
+        np.savetxt(f, at.reshape(-1, 3), fmt="%.17g")
+        f.write("</DataArray>\n</Points>\n</Piece>\n</StructuredGrid>\n</VTKFile>\n")
+
+
+def _xml_arrays(path: str, kind: str) -> tuple[ElementTree.Element, tuple[int, int, int], dict[str, np.ndarray]]:
+    if os.path.getsize(path) > FILE_BYTES:
+        raise ValueError("the file is too large to be parsed as text")
+    grid = ElementTree.parse(path).getroot().find(kind)
+    extent = list(map(int, grid.get("WholeExtent").split()))
+    dims = tuple(extent[2 * a + 1] - extent[2 * a] + 1 for a in range(3))
+    piece = grid.find("Piece")
+    arrays = {part: np.array(piece.find(part).find("DataArray").text.split(), float).reshape(dims[2], dims[1], dims[0], 3) for part in ("PointData", "Points") if piece.find(part) is not None}
+    return grid, dims, arrays
+
+
+def read_vti(spark: SparkSession, path: str) -> FlowField:
+    """An XML image file with inline text and one vector array on points (files of checked size)."""
+    grid, dims, arrays = _xml_arrays(path, "ImageData")
+    origin, spacing = (list(map(float, grid.get(a).split())) for a in ("Origin", "Spacing"))
+    return FlowField.from_numpy(spark, arrays["PointData"], lo=tuple(origin), hi=tuple(o + s * (n - 1) for o, s, n in zip(origin, spacing, dims, strict=True)))
+
+
+def read_vts(spark: SparkSession, path: str) -> tuple[FlowField, DataFrame]:
+    """An XML structured-grid file: the field in index space, and its vertices (i, j, k, x, y, z)."""
+    _, _, arrays = _xml_arrays(path, "StructuredGrid")
+    places = FlowField.from_numpy(spark, arrays["Points"]).nodes
+    return FlowField.from_numpy(spark, arrays["PointData"]), places.select("i", "j", "k", F.col("u").alias("x"), F.col("v").alias("y"), F.col("w").alias("z"))
+
+
+def read_field(spark: SparkSession, path: str, mode: DataMode | str, **options) -> FlowField:
+    """A field by its mode: RAW and RAW_HEADER name a list of files (or one ``.vec`` file), NETCDF
+    a file, with ``names`` and, if need be, ``fills`` and ``order``."""
+    mode = DataMode(mode)
+    if mode is DataMode.NETCDF:
+        return read_netcdf_field(spark, path, **options)
+    if path.endswith((".vec", ".raw")):
+        return read_vec(spark, path, **options)
+    listing = read_list(path)
+    if listing.mode != mode.value:
+        raise ValueError(f"the list names files of mode {listing.mode}")
+    return read_series(spark, listing, **options)
 
 
 def read_vtk(spark: SparkSession, path: str) -> FlowField:
-    """A legacy ASCII image file with one vector array on points."""
+    """A legacy ASCII image file with one vector array on points (files of checked size)."""
+    if os.path.getsize(path) > FILE_BYTES:
+        raise ValueError("the file is too large to be parsed as text")
     with open(path, encoding="ascii") as f:
         words = f.read().split()
     upper = [w.upper() for w in words]
@@ -257,7 +386,7 @@ def read_vtk(spark: SparkSession, path: str) -> FlowField:
 
 def write_vtk(field: FlowField, path: str) -> None:
     """A legacy ASCII image file (fields of checked size)."""
-    v = field.to_numpy()[0]
+    v = _dense(field)
     nx, ny, nz = field.dims
     with open(path, "w", encoding="ascii") as f:
         f.write(f"# vtk DataFile Version 3.0\nfield\nASCII\nDATASET STRUCTURED_POINTS\nDIMENSIONS {nx} {ny} {nz}\n")

@@ -137,6 +137,72 @@ def test_blocks_give_the_same_lines(spark):
     assert rounds.hand_offs(parts).count() > 0
 
 
+@pytest.mark.parametrize("options", [RK4.fixed(0.25), Integration(max_step=0.5), Integration(order=Order.FOURTH, max_step=0.5)])
+def test_large_fields_are_traced_by_blocks(spark, monkeypatch, options):
+    """Both ways give the same rows: directions, adaptive steps, statuses, seeds without a line."""
+    field = rotation(spark)
+    seeds = seeds_of(spark, [(9.1 + n, 8.3, 2.0) for n in range(5)] + [(8, 8, 2), (30, 8, 2), (15.9, 15.9, 2)])
+    whole = tracing.streamlines(field, seeds, Direction.BOTH, options, 40, emit_empty=True)
+    want = {(r.seed_id, r.dir, r.seq): r for r in whole.collect()}
+    monkeypatch.setattr(tracing, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(tracing, "BLOCK_BYTES", field.size_bytes() // 4)
+    monkeypatch.setattr(rounds, "CROWD", 2)
+    got = {(r.seed_id, r.dir, r.seq): r for r in tracing.streamlines(field, seeds, Direction.BOTH, options, 40, emit_empty=True).collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k].status == r.status and (r.seq is None or (got[k].x, got[k].y, got[k].z) == pytest.approx((r.x, r.y, r.z), abs=1e-9)), k
+
+
+def test_large_unsteady_fields_are_traced_by_blocks(spark, monkeypatch):
+    values = np.stack([np.ones((3, 3, 40, 3)) * [t + 1.0, 0, 0] for t in range(4)])
+    field = FlowField.from_numpy(spark, values)
+    field = field.with_nodes(field.nodes.withColumn("t", F.col("t") + 2), t_range=(2, 5))
+    seeds = seeds_of(spark, [(1 + n, 1, 1) for n in range(3)], 2.0)
+    want = sorted(rows(tracing.pathlines(field, seeds, options=RK4.fixed(0.25), max_points=12), "seed_id", "seq", "t", "x", "status"))
+    monkeypatch.setattr(tracing, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(tracing, "BLOCK_BYTES", field.size_bytes() // 3)
+    got = sorted(rows(tracing.pathlines(field, seeds, options=RK4.fixed(0.25), max_points=12), "seed_id", "seq", "t", "x", "status"))
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want])
+
+
+def test_rounds_never_end_silently(spark):
+    field = FlowField.from_numpy(spark, np.ones((3, 3, 40, 3)) * [1.0, 0.0, 0.0])
+    seeds = seeds_of(spark, [(1, 1, 1)])
+    with pytest.raises(RuntimeError, match="still travel"):
+        rounds.trace_by_blocks(field, seeds, 8, RK4.fixed(0.5), 100, max_rounds=2)
+    with pytest.raises(Exception, match="ghost layers"):
+        rounds.trace_by_blocks(field, seeds, 8, RK4.fixed(3.0), 100)
+    assert rounds.trace_by_blocks(field, seeds, 8, RK4.fixed(3.0), 100, ghost=4).count() == 13
+
+
+def test_repeated_and_null_keys_are_sampled_row_by_row(spark):
+    field = rotation(spark)
+    p = spark.createDataFrame([(1, 10.0, 8.0, 2.0), (1, 10.0, 8.0, 2.0), (1, 9.0, 8.0, 2.0), (None, 10.0, 8.0, 2.0), (2, 99.0, 0.0, 0.0)], "point_id long, x double, y double, z double")
+    got = [(r.point_id, r.x, r.v if r.v is None else round(r.v, 9)) for r in locate.sample(p, field).collect()]
+    assert sorted(got, key=str) == sorted([(1, 10.0, 0.4), (1, 10.0, 0.4), (1, 9.0, 0.2), (None, 10.0, 0.4), (2, 99.0, None)], key=str)
+    for r in derive.curl_at(p, field).where("x < 50").collect() + derive.jacobian_at(p, field).where("x < 50").collect():
+        assert (r.curl_z if "curl_z" in r else r.j10 - r.j01) == pytest.approx(0.4)
+
+
+def test_iso_surfaces_keep_their_step(spark):
+    i, j, k = lattice(4, 4)
+    field = FlowField.from_numpy(spark, np.stack([np.stack([i + t, j, k], -1) for t in range(2)]))
+    got = isosurface.iso_surface(field, "u", [1.5]).groupBy("t").agg(F.min("x0"), F.max("x0")).orderBy("t").collect()
+    assert [tuple(r) for r in got] == [(0, 1.5, 1.5), (1, 0.5, 0.5)]
+
+
+def test_field_files_by_mode_and_netcdf(spark, tmp_path):
+    field = rotation(spark, 5, 3)
+    formats.write_netcdf(field, str(tmp_path / "f.nc"))
+    again = formats.read_field(spark, str(tmp_path / "f.nc"), "NETCDF", names=["u", "v", "w"])
+    assert np.allclose(again.to_numpy(), field.to_numpy())
+    binary.write_vec(field, str(tmp_path / "a.vec"))
+    (tmp_path / "list").write_text("1\na.vec\n")
+    assert np.allclose(formats.read_field(spark, str(tmp_path / "list"), "RAW_HEADER").to_numpy(), field.to_numpy())
+    with pytest.raises(ValueError):
+        formats.read_field(spark, str(tmp_path / "list"), "RAW")
+
+
 def test_fragments_connect_exactly(spark):
     data = [(0, 0, 0.0), (0, 1, 1.0), (1, 0, 5.0), (1, 1, 6.0), (2, 0, 1.0), (2, 1, 2.0), (3, 0, 2.0), (3, 1, 3.0), (4, 0, 3.0)]
     df = spark.createDataFrame([(f, s, x, 0.0, 0.0, x) for f, s, x in data], "fragment long, seq int, x double, y double, z double, t double")

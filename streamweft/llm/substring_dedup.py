@@ -1,21 +1,26 @@
-"""Repeated passages by De Bruijn compaction over super-k-mers.
-
-The k-mers (edges of the De Bruijn graph) are windows of ``WINDOW`` words.
-Consecutive windows of a text whose smallest-hashed ``ANCHOR``-word gram is the
-same occurrence form one compacted, nonbranching stretch; equal windows have
-equal anchors.  So
-
-1. one row an anchor (about an eighth of the words) is grouped by its hash;
-   a stretch whose anchor is unique in the corpus holds no repeated window,
-2. only the windows of the other stretches become edges, grouped by a 64-bit
-   window hash and verified by 32 bits of an independent one; all but the first occurrence
-   (document id, then start) are repeats,
-3. the repeats come back to their document by its coordinates, join up to long
-   spans, and the words that a span covers go.
-
-Occurrences that repeat within one map batch are settled there, so a passage
-that a third of all documents share costs each reducer one row a batch, not one
-a document.  Texts move once: both joins by document share one exchange.
+"""Repeated passages by De Bruijn compaction.
+
+The k-mers, windows of ``WINDOW`` words, are the edges of a De Bruijn graph whose
+nodes are their first and last k - 1 words.
+
+1. Windows that can repeat: a window's anchor is the ``ANCHOR``-word gram of
+   smallest hash in it, and equal windows have equal anchors.  One row an
+   anchor (about an eighth of the words) is grouped by its hash; windows whose
+   anchor is unique in the corpus are left out of the graph.
+2. The others become edges, one row for each distinct window of a map batch;
+   all later ones of the batch are settled there as repeats.  Edges that
+   several batches have stay, with all these occurrences.
+3. An edge leads to the next one of its document.  Where all occurrences of an
+   edge have one successor, and all of that one have the first as predecessor,
+   the node between does not branch.  A Spark join of the edges with their
+   successors finds these nodes, and nonbranching paths are compacted to
+   their first edge along a document that has them.
+4. A path's occurrences are read again at their source coordinates: only spans
+   with the same words (128-bit digests) are repeats; all but the first
+   (document id, then start) go.
+
+A passage that a third of all documents share costs each reducer one row a
+batch, not one a document.
 """
 
 from __future__ import annotations
@@ -25,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialise
 from .words import Words, slices, split_words
 
 WINDOW = 20
@@ -35,6 +41,7 @@ ANCHOR = 6
 
 _SINGLE, _WITNESS, _SETTLED = 0, 1, 2
 _LAST_ID = (1 << 63) - 1
+_EDGE = "edge long, next long, id long, tie long, start int, n int"
 
 
 def anchors(words: Words, hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -157,14 +164,12 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _edge_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(edge, check, id, tie, start, n): windows of the shared stretches.  n is 0 for
-    the first of its kind in a batch, else a run of n windows that repeat within the batch."""
+    """(edge, next, id, tie, start, n): windows of the ``shared`` anchors.  n is 0 for the first of its
+    kind in a batch, else the row is a run of n windows that occur earlier in the batch.  ``next`` is
+    the edge of the window after it, if that is the first of its kind in the batch, too."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column("shared").is_valid())
-            if not batch.num_rows:
-                continue
             lists = batch.column("shared")
             parts = [[np.zeros(0, np.uint64)] for _ in range(2)] + [[np.zeros(0, np.int64)] for _ in range(2)]
             for base, w in _batch_words(batch):
@@ -182,7 +187,7 @@ def _edge_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
             ids, ties = batch.column("id").to_numpy(), batch.column("tie").to_numpy()
             order = np.lexsort((start, ties[d], ids[d]))
             edge, check, d, start = edge[order], check[order], d[order], start[order]
-            _, first = _repeated(edge ^ (check * np.uint64(0x9E3779B97F4A7C15)))
+            first = _first_of(edge, check)
             rest = np.flatnonzero(~first)
             new = np.ones(len(rest), bool)
             new[1:] = (d[rest[1:]] != d[rest[:-1]]) | (start[rest[1:]] != start[rest[:-1]] + 1)
@@ -191,49 +196,124 @@ def _edge_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
             use = np.concatenate([np.flatnonzero(first), head])
             n = np.zeros(len(use), np.int32)
             n[len(use) - len(head) :] = runs
-            blank = n > 0
-            edge, check = edge[use], (check[use] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            edge[blank] = check[blank] = 0
+            follows = np.zeros(len(d), bool)
+            follows[:-1] = (d[1:] == d[:-1]) & (start[1:] == start[:-1] + 1) & first[1:]
+            next_ = np.append(edge[1:], np.zeros(min(1, len(edge)), np.uint64))
+            edge = edge[use]
+            edge[n > 0] = 0
             yield pa.RecordBatch.from_arrays(
-                [_long(edge), pa.array(check), pa.array(ids[d[use]]), pa.array(ties[d[use]]), pa.array(start[use].astype(np.int32)), pa.array(n)],
-                names=["edge", "check", "id", "tie", "start", "n"],
+                [_long(edge), pa.array(next_.view(np.int64)[use], mask=~follows[use] | (n > 0)), pa.array(ids[d[use]]), pa.array(ties[d[use]]), pa.array(start[use].astype(np.int32)), pa.array(n)],
+                names=["edge", "next", "id", "tie", "start", "n"],
             )
 
-    return texts.mapInArrow(rows, "edge long, check int, id long, tie long, start int, n int")
+    return texts.mapInArrow(rows, _EDGE)
+
 
+def _first_of(edge: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Whether a row is the first of its (edge, check), or has an edge whose first row has another check."""
+    order = np.argsort(edge, kind="stable")
+    e = edge[order]
+    head = np.append(True, e[1:] != e[:-1])[: len(e)]
+    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(e)), 0))] if len(e) else order
+    out = np.empty(len(e), bool)
+    out[order] = head | (check[order] != check[lead])
+    return out
 
-def _repeats(rows: DataFrame) -> DataFrame:
-    """(id, tie, start, n): runs of n windows that occur earlier; streams over sorted rows."""
+
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """The rows of edges that occur more than once, and the settled runs; streams over rows sorted by edge."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None
+        held: pa.RecordBatch | None = None
+        matched = False
         for batch in batches:
+            settled = batch.column("n").to_numpy() > 0
+            yield batch.filter(pa.array(settled))
+            batch = batch.filter(pa.array(~settled))
             if not batch.num_rows:
                 continue
-            n = batch.column("n").to_numpy().copy()
-            edge, check = batch.column("edge").to_numpy(), batch.column("check").to_numpy()
-            single = np.flatnonzero(n == 0)
-            e, c = edge[single], check[single]
-            again = np.zeros(len(single), bool)
-            if len(single):
-                again[1:] = (e[1:] == e[:-1]) & (c[1:] == c[:-1])
-                again[0] = last == (e[0], c[0])
-                last = (e[-1], c[-1])
-            n[single] = again
-            out = batch.select(["id", "tie", "start"]).append_column("n", pa.array(n))
-            yield out.filter(pa.array(n > 0))
-
-    order = ["edge", "check", "id", "tie", "start"]
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            e = batch.column("edge").to_numpy()
+            same = e[1:] == e[:-1]
+            hit = np.zeros(len(e), bool)
+            hit[1:] |= same
+            hit[:-1] |= same
+            hit[0] |= held is not None and matched
+            yield batch.slice(0, len(e) - 1).filter(pa.array(hit[:-1]))
+            held, matched = batch.slice(len(e) - 1), bool(hit[-1])
+        if held is not None and matched:
+            yield held
+
+    # settled rows go anywhere: by document
     part = F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("edge"))
-    return rows.repartition(part).sortWithinPartitions(*order).mapInArrow(keep, "id long, tie long, start int, n int")
+    return rows.repartition(part).sortWithinPartitions("edge").mapInArrow(keep, _EDGE)
+
+
+def compacted_paths(occurrences: DataFrame) -> DataFrame:
+    """(path, n): the first edge and the number of edges of each nonbranching path of the graph of
+    ``occurrences`` (edge, next, id, tie, start).
+
+    An edge hangs on another if that one always leads to it and it has no other
+    occurrence: both occur equally often.  Every occurrence of ``path`` is
+    followed by the path's other edges, so in whatever document has them all
+    they are a run; that of smallest hash is looked at.
+    """
+    number = lambda x: F.lit(str(x)).cast("decimal(20,0)")
+    whole = (F.xxhash64("id", "tie").cast("decimal(20,0)") + number(1 << 63)).cast("decimal(20,0)") * number(1 << 31)
+    place = (whole.cast("decimal(38,0)") + F.col("start").cast("decimal(10,0)")).cast("decimal(38,0)")
+    edges = occurrences.groupBy("edge").agg(F.count("*").alias("n"), F.count("next").alias("led"), F.min("next").alias("low"), F.max("next").alias("high"), F.min(place).alias("place"))
+    start = F.pmod("place", number(1 << 31).cast("decimal(38,0)"))
+    edges = edges.select("edge", "n", F.when((F.col("led") == F.col("n")) & (F.col("low") == F.col("high")), F.col("low")).alias("next"), (F.col("place") - start).cast("decimal(38,0)").alias("doc"), start.cast("int").alias("start"))
+    edges = materialise(edges, "graph-edges")
+    ahead = edges.where("next IS NOT NULL").select(F.col("edge").alias("from"), F.col("next").alias("to"), F.col("n").alias("times"))
+    tied = edges.join(ahead, (F.col("edge") == F.col("to")) & (F.col("n") == F.col("times")), "left").select("edge", "doc", "start", "from")
+    along = Window.partitionBy("doc").orderBy("start", "edge")
+    joined = (F.lag("edge").over(along) == F.col("from")) & (F.lag("start").over(along) == F.col("start") - 1)
+    heads = tied.withColumn("head", F.when(F.coalesce(joined, F.lit(False)), F.lit(None)).otherwise(F.col("edge")))
+    paths = heads.select(F.last("head", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("path"))
+    return paths.groupBy("path").agg(F.count("*").cast("int").alias("n"))
+
+
+def _verified(texts: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """``spans`` (path, n, id, tie, start) with the ``digest`` of the words that they cover in their document."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, w in _batch_words(batch):
+                part = batch.slice(base, len(w.first) - 1)
+                lists, flat = part.column("spans"), part.column("spans").flatten()
+                owner = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
+                start, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
+                raw, a = w.data.tobytes(), w.first[:-1][owner] + start
+                begins, ends = w.starts[a].tolist(), w.ends[a + n + window - 2].tolist()
+                found = [hashlib.blake2b(b" ".join(raw[x:y].split()), digest_size=16).digest() for x, y in zip(begins, ends, strict=True)]
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [flat.field("path"), pa.array(found, pa.binary()), part.column("id").take(rows), part.column("tie").take(rows), flat.field("start"), flat.field("n")],
+                    names=["path", "digest", "id", "tie", "start", "n"],
+                )
+
+    listed = spans.groupBy("id", "tie").agg(F.collect_list(F.struct("path", "start", "n")).alias("spans"))
+    read = texts.join(listed, ["id", "tie"]).select("id", "tie", "text", "spans")
+    return read.mapInArrow(digests, "path long, digest binary, id long, tie long, start int, n int")
 
 
 def repeated_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = ANCHOR) -> DataFrame:
     """(doc_id, text, runs): every row of ``df`` and the runs (start, n) of its windows that occur earlier."""
     texts, once = _texts(df, doc_id, text)
-    shared = _shared(_anchor_rows(once, window, gram)).groupBy("id", "tie").agg(F.collect_list("pos").alias("shared"))
-    edges = _edge_rows(once.join(shared, ["id", "tie"], "left").select("doc_id", "id", "tie", "text", "shared"), window, gram)
-    runs = _repeats(edges).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    shared = materialise(_shared(_anchor_rows(once, window, gram)).groupBy("id", "tie").agg(F.collect_list("pos").alias("shared")), "shared-anchors")
+    edges = _edge_rows(once.join(shared, ["id", "tie"]).select("id", "tie", "text", "shared"), window, gram)
+    found = materialise(_occurrences(edges), "edge-occurrences")
+    again = found.where("n = 0").drop("n")
+    paths = materialise(compacted_paths(again), "compacted-paths")
+    spans = materialise(again.join(paths, F.col("edge") == F.col("path")).select("path", "n", "id", "tie", "start"), "path-spans")
+    read = materialise(_verified(once, spans, window), "verified-spans")
+    place = F.struct("id", "tie", "start")
+    first = read.groupBy("path", "digest").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("path", "digest", "first")
+    later = read.join(first, ["path", "digest"]).where(place != F.col("first")).select("id", "tie", "start", "n")
+    runs = later.unionByName(found.where("n > 0").select("id", "tie", "start", "n")).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    runs = materialise(runs, "repeated-runs")
     return texts.join(runs, ["id", "tie"], "left").select("doc_id", "text", "runs")
 
 

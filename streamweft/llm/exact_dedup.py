@@ -8,9 +8,10 @@ is deleted.  Every stage groups by digest *and* full normalised text:
    number, so one text's partial results spread over ``salts`` reducers,
 3. the salt winners are combined by (digest, text).
 
-The winner table has one small row a text.  Documents find their winner by
-digest; a digest that stands for two texts (a SHA-256 collision) would be seen
-in stage 3, and its documents are matched by text.  Texts that hold more than
+The winner table has one small row a text.  Documents find their winner by the
+text's SHA-256, an independent 64-bit hash and its length, not by the text
+itself: two texts that share all three would be two groups in stage 3, and
+their documents would match both.  Texts that hold more than
 ``1 / HOT`` of all rows, fewer than ``HOT`` by arithmetic, are matched by a
 broadcast join; all others by a shuffle in which no key is that frequent.
 """

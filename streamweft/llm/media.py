@@ -16,6 +16,8 @@ from .jpeg import decode_batch, encode_payloads, thumbnail, thumbnail_hash
 from .words import buffers, slices
 
 _UNIT = 64
+#: What reading a broken or foreign file may raise.
+_BROKEN = (ValueError, IndexError, KeyError, ZeroDivisionError, struct.error)
 
 
 def encode_media(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,16 +83,26 @@ def media_features(df: DataFrame, media: str = "media", columns: tuple[str, ...]
         try:
             (frame, coef), = decode_batch([data]) if data else [(None, None)]
             return (frame.width, frame.height, thumbnail_hash(thumbnail(frame, coef))) if frame else (None, None, None)
-        except (ValueError, IndexError, KeyError, struct.error):
+        except _BROKEN:
             return None, None, None
 
+    def several(files: list[bytes | None]) -> list[tuple[int | None, int | None, str | None]]:
+        """All at once; one by one if a file among them is broken."""
+        try:
+            if all(files):
+                return [(f.width, f.height, thumbnail_hash(thumbnail(f, c))) for f, c in decode_batch(files)]
+        except _BROKEN:
+            pass
+        return [one(x) for x in files]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [one(x) for x in batch.column("media").to_pylist()]
-            extra = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *extra], names=[*names, "width", "height", "thumbnail_hash"])
+            for part in slices(batch, "media", 1 << 20):
+                found = several(part.column("media").to_pylist())
+                extra = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *extra], names=[*names, "width", "height", "thumbnail_hash"])
 
-    return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, columns, strict=True)))
+    return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, columns, strict=True)))  # names c0.. clash with none
 
 
 def media_round_trip(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

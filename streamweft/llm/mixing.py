@@ -89,10 +89,12 @@ def labelled_domains(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def train_domains(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> DomainModel:
-    """Word log odds from one half of the labelled documents, trees from the other."""
+    """Word log odds from one half of the labelled documents, trees from the other.  An id that
+    repeats in ``df`` gives one row, with its smallest text."""
     sample = labelled_domains(labels, rows)
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = materialise(texts.join(F.broadcast(sample), "doc_id"), "labelled-texts")
+    texts = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "domain", "half").agg(F.min("text").alias("text"))
+    texts = materialise(texts, "labelled-texts")
     k = len(DOMAINS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +238,7 @@ def mixing_rates(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 def mix_documents(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", targets: Mapping[str, float] | None = None,
                   multiples: Mapping[str, float] = MULTIPLES, tokenizer: str | None = None) -> DataFrame:
     """The rows of ``df`` with all their columns, each as often as ``copies`` of
-    ``mixing_rates`` says.  One more pass over the text instead of a join."""
+    ``mixing_rates`` says, nulls and repeated rows as there.  One more pass over the text instead of a join."""
     model, _, steps = fit_mixture(df, labels, doc_id, text, targets, multiples, tokenizer)
     names = [f"c{i}" for i in range(len(df.columns))]
     at_text = "text"

@@ -112,10 +112,11 @@ def labelled_sample(labels: DataFrame, label: str, rows: int, folds: bool = True
 
 def train_quality(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Forest:
     """Learn from the labelled documents outside the held-out fold.  Only the text's
-    statistics are inputs.  Ids that repeat in ``df`` give a row each."""
+    statistics are inputs.  An id that repeats in ``df`` gives one row, with its smallest text."""
     sample = labelled_sample(labels, label, rows)
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = _statistics(texts.join(F.broadcast(sample), "doc_id"), ["doc_id", "label"]).collect()
+    texts = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = _statistics(texts, ["doc_id", "label"]).collect()
     found.sort(key=lambda r: (r.doc_id, r.x))
     x = np.array([r.x for r in found], float)
     y = np.array([r.label for r in found], float)

@@ -7,6 +7,10 @@ and cut into the pre-tokeniser's pieces by numpy, on the bytes; their pieces go
 to the merge rounds of ``bpe``.  Any other word stays whole and goes through the
 library's full chain.  Each batch's distinct pieces are encoded once (Arrow
 dictionary encoding finds them), and numpy puts the ids together.
+
+The shortcut holds for one chain of normaliser, pre-tokeniser and model options,
+which ``Encoder`` compares with the file's; any other file goes through the
+library, text by text.
 """
 
 from __future__ import annotations
@@ -62,17 +66,50 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
 _KIND, _ODD = _byte_tables()
 
 
+#: What the shortcut takes for granted.
+_CHAIN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "truncation": None, "padding": None,
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def _expected(spec: dict) -> bool:
+    added = spec.get("added_tokens") or []
+    return (
+        all(spec.get(k) == v for k, v in _CHAIN.items())
+        and all(spec["model"].get(k) == v for k, v in _MODEL.items())
+        and all(t["content"].startswith("<|") and not t["normalized"] for t in added)
+        and {c + e for c in _byte_letters().values() for e in ("", spec["model"].get("end_of_word_suffix") or "")} <= set(spec["model"]["vocab"])
+    )
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
-        self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "", _byte_letters())
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        model = spec["model"]
+        self.quick = _expected(spec)
+        if self.quick:
+            self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "", _byte_letters())
         self.vocab_size = self.full.get_vocab_size()
 
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_distinct``, a text being one piece."""
+        found = [e.ids for e in self.full.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        sizes = np.array([len(f) for f in found], np.int64)
+        return np.arange(len(found) + 1), np.arange(len(found)), np.array([i for f in found for i in f], np.int64), sizes
+
     def _distinct(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Piece offsets by text, each piece's code, the codes' ids in a row and the number of each code's."""
+        if not self.quick:
+            return self._whole(texts)
         none = np.zeros(0, np.int64)
         data, offsets = buffers(texts)
         kind = _KIND[data]

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -47,6 +48,18 @@ def test_encoder_equals_the_library(library):
     assert (enc.counts(texts) == np.diff(at) - 1).all()
 
 
+def test_other_vocabularies_go_through_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    own, texts = Tokenizer.from_file(path), [*WEIRD, "plain text"]
+    enc = encoder(path)
+    ids, at = enc.encode(pa.array(texts), end_id=3)
+    assert not enc.quick and encoder(tokenizer_path()).quick
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == own.encode(t or "", add_special_tokens=False).ids + [3]
+
+
 def test_word_hashes_are_positional_and_equal_for_equal_words():
     w = split_words(pa.array(["a b c d e", "x a b c d e", None, " "]))
     for n in (1, 2, 3, 5):
@@ -74,6 +87,19 @@ def test_packing(spark, library):
     assert packing.pack_documents(table(spark, [])).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 10)
+    rows = packing.pack_documents(table(spark, [(None, None)] * 300 + [(1, "a b c")] * 50), limit=64).collect()
+    assert len(rows) == 350 and len({(r.sequence_id, r.offset) for r in rows}) == 350
+    assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 64)
+
+
+def test_patterns_are_all_enumerated():
+    lengths = np.array([3, 4, 5, 6, 7, 10, 11, 12, 14])
+    want = {tuple(sorted(c, reverse=True)) for c in itertools.combinations_with_replacement(lengths.tolist(), 3) if sum(c) == 21} | {(a, b, 0) for a in lengths.tolist() for b in lengths.tolist() if a >= b and a + b == 21}
+    assert {tuple(r) for r in packing.exact_patterns(lengths, 21).tolist()} == want
+
+
 def test_packing_plan_uses_every_piece():
     hist = np.zeros(65, np.int64)
     hist[[3, 7, 20, 30, 34, 44, 61, 64]] = [50, 9, 40, 31, 31, 12, 13, 5]
@@ -294,7 +320,7 @@ def _lines_like(rng):
 
 
 def test_line_dedup(spark):
-    df = table(spark, [*_lines_like(random.Random(5)), (90, ""), (91, "short\nshort")])
+    df = table(spark, [*_lines_like(random.Random(5)), (90, ""), (91, "short\nshort"), (92, "short\n \n\n short \nshorts")])
     con = duckdb.connect()
     con.register("documents", df.select("doc_id", "text").toArrow())
     want = sorted(con.execute(line_dedup.SQL).fetchall())
@@ -309,6 +335,9 @@ def test_line_dedup_edge_cases(spark):
     df = table(spark, [(1, "x" * 30 + "\nkeep"), (2, "x" * 30 + "\r\n  " + "x" * 31 + "\n"), (2, "y" * 30), (2, "y" * 30), (None, "x" * 30), (None, None), (5, "")])
     got = sorted((str(r.doc_id), r.n_lines, r.dropped) for r in line_dedup.dropped_lines(df).collect())
     assert got == [("1", 2, []), ("2", 1, []), ("2", 1, []), ("2", 3, [0, 1]), ("5", 1, []), ("None", 0, []), ("None", 1, [0])]
+    long_ = " ".join(f"w{k}" for k in range(30_000))
+    df = table(spark, [(1, "a\nb\na"), (2, f"b\n{long_}"), (3, f"{long_}!\n\n\na")])
+    assert sorted((r.doc_id, r.dropped) for r in line_dedup.dropped_lines(df).collect()) == [(1, [2]), (2, [0]), (3, [0, 3])]
     assert line_dedup.dropped_lines(table(spark, [])).count() == 0 and line_dedup.line_dedup(df).columns == df.columns
 
 
@@ -361,6 +390,8 @@ def test_substring_dedup(spark):
     df = table(spark, docs, 4)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup_digests(df).collect()}
     assert got == _without_repeats(docs)
+    again = substring_dedup.substring_dedup_digests(df.repartition(40)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in again} == got
     whole = {r.doc_id: r for r in substring_dedup.substring_dedup(df).collect()}
     assert [tuple(s) for s in whole[205].spans] == [(40, 120)] and all(hashlib.sha256(r.kept_text.encode()).hexdigest() == got[i][2] for i, r in whole.items())
     assert substring_dedup.substring_dedup_digests(table(spark, [])).count() == 0
@@ -368,6 +399,24 @@ def test_substring_dedup(spark):
     assert len(twice) == 3
 
 
+def test_paths_are_compacted_where_nothing_branches(spark):
+    """Edges 1 to 9 in a row in three documents; one of them leaves after 5, another enters at 8 from elsewhere."""
+    rows = [(e, 1, e) for e in range(1, 10)] + [(e, 2, 20 + e) for e in range(1, 6)] + [(e, 3, 40 + e) for e in range(8, 10)] + [(77, 3, 47)] + [(e, 4, e) for e in range(1, 10)] + [(77, 5, 3)]
+    at_ = {(d, at): e for e, d, at in rows}
+    df = spark.createDataFrame([(e, at_.get((d, at + 1)), d, 0, at) for e, d, at in rows], "edge long, next long, id long, tie long, start int")
+    assert sorted(tuple(r) for r in substring_dedup.compacted_paths(df).collect()) == [(1, 5), (6, 2), (8, 2), (77, 1)]
+
+
+def test_long_passages_of_other_words_stay(spark):
+    """Windows that share a hash but not their words are no repeats."""
+    ids = [(1, "a " * 10 + "x " * 30), (2, "b " * 10 + "x " * 30), (3, "")]
+    df = table(spark, ids)
+    _, once = substring_dedup._texts(df, "doc_id", "text")
+    spans = spark.createDataFrame([(7, 5, 1, 0, 0), (7, 5, 2, 0, 0), (8, 5, 1, 0, 12), (8, 5, 2, 0, 11)], "path long, n int, id long, tie long, start int")
+    got = {(r.path, r.id): r.digest for r in substring_dedup._verified(once, spans, 20).collect()}
+    assert got[7, 1] != got[7, 2] and got[8, 1] == got[8, 2]
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_substring_dedup_keeps_a_copy_of_repeated_rows(spark, parts):
     a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
@@ -407,6 +456,59 @@ def test_trees_learn_a_step():
     assert gbt.fit(np.zeros((0, 1)), np.zeros(0)).score(np.zeros((2, 4))).tolist() == [0.5, 0.5]
 
 
+def test_trees_are_traversed_as_written():
+    """Flattened forests against a walk of one row down one tree at a time."""
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 6))
+    x[::7, 2] = x[::5, 3][: len(x[::7])] if len(x[::5]) >= len(x[::7]) else 0.5
+    forest = gbt.fit(x, (x[:, 0] + x[:, 4] > 1).astype(float), trees=12, depth=3)
+    inner = forest.feature.shape[1]
+    for row, score in zip(x[:60], forest.score(x[:60]), strict=True):
+        total = forest.base
+        for t in range(len(forest.feature)):
+            node = 0
+            while node < inner:
+                node = 2 * node + (2 if row[forest.feature[t, node]] > forest.threshold[t, node] else 1)
+            total += forest.leaf[t, node - inner]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_quality_of_repeated_ids_and_long_texts(spark):
+    df, labels = _labelled(spark)
+    extra = table(spark, [(1, "other words for a known id."), (1, "other words for a known id."), (950, "plain " * 200_000)])
+    got = quality.classify_quality(df.unionByName(extra), labels).collect()
+    assert len(got) == 406 and sum(r.doc_id == 1 for r in got) == 3 and len({r.score for r in got if r.doc_id == 1}) <= 2 and all(0 <= r.score <= 1 for r in got)
+    clash = df.withColumns({"score": F.lit(-5.0), "c0": F.lit("c"), "__text": F.lit("t")})
+    kept = quality.keep_quality(clash, labels)
+    assert kept.columns == clash.columns and {(r.score, r.c0, r["__text"]) for r in kept.collect()} == {(-5.0, "c", "t")}
+
+
+@pytest.mark.parametrize("targets", [(0.9, 1.1, 1.0), (1.25, 0.5, 0.05), (1.0, 2.0, 0.2)])
+def test_mixing_equals_a_small_least_squares(targets):
+    """Projected gradient over rows against coordinate descent on the same weighted problem."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([4, 2, 0.5], 400)
+    n = rng.integers(1, 900, 400).astype(float)
+    before = n @ p
+    goal = before * np.array(targets)
+    inverse = np.linalg.pinv((p * n[:, None]).T @ p, rcond=1e-9, hermitian=True)
+    steps = []
+    for _ in range(mixing.ROUNDS):
+        steps.append(inverse @ ((mixing._rates(p, steps) * n) @ p - goal))
+    mine = (mixing._rates(p, steps) * n) @ p
+    r = np.ones(400)
+    for _ in range(400):  # exact coordinate descent of (t(r) - goal)' inverse (t(r) - goal), r >= 0
+        total = (r * n) @ p
+        for k in range(400):
+            a = n[k] * p[k]
+            change = max(-r[k], -(a @ inverse @ (total - goal)) / (a @ inverse @ a))
+            r[k] += change
+            total = total + change * a
+    other = (r * n) @ p
+    size = lambda t: (t - goal) @ inverse @ (t - goal)
+    assert np.abs(other / goal - 1).max() < 0.01 and np.abs(mine / goal - 1).max() < 0.01 and size(mine) <= size(other) + 1e-4 * goal.sum()
+
+
 def test_mixing(spark):
     df, labels = _labelled(spark)
     got = mixing.mixing_rates(df, labels).collect()
@@ -434,6 +536,80 @@ def test_media_round_trip(spark):
     assert same[0] == same[1] and media.media_round_trip(table(spark, [])).count() == 0
 
 
+def _jpeg_of(blocks, width, height, sampling, interval, rng):
+    """A baseline file of given quantised blocks (in scan order), written bit by bit with flat Huffman
+    codes: 4 bits for DC sizes, 8 for AC symbols.  Shares nothing with the encoder under test."""
+    seg = lambda kind, body: bytes([0xFF, kind]) + (len(body) + 2).to_bytes(2, "big") + body
+    symbols = [r << 4 | z for r in range(16) for z in range(1, 11)] + [0x00, 0xF0]
+    out = b"\xff\xd8" + seg(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0")
+    quantiser = [rng.randint(1, 60) for _ in range(64)]
+    out += seg(0xDB, bytes([0, *quantiser])) + seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(sampling)]) + b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(sampling)))
+    out += seg(0xC4, bytes([0x00, 0, 0, 0, 12] + [0] * 12 + list(range(12)))) + seg(0xC4, bytes([0x10] + [0] * 7 + [len(symbols)] + [0] * 8 + symbols))
+    out += seg(0xDD, interval.to_bytes(2, "big")) * (interval > 0) + seg(0xDA, bytes([len(sampling)]) + b"".join(bytes([c + 1, 0]) for c in range(len(sampling))) + b"\0\x3f\0")
+    layout = [0] if len(sampling) == 1 else [c for c, (h, v) in enumerate(sampling) for _ in range(h * v)]
+    bits, last, scan = "", [0] * len(sampling), b""
+
+    def value(v):
+        size = abs(v).bit_length()
+        return size, format(v if v > 0 else v + (1 << size) - 1, "b").zfill(size) if size else ""
+
+    def flush():
+        full = bits + "1" * (-len(bits) % 8)
+        return b"".join(bytes([int(full[k : k + 8], 2)]) + (b"\0" if full[k : k + 8] == "1" * 8 else b"") for k in range(0, len(full), 8))
+
+    for k, block in enumerate(blocks):
+        mcu, place = divmod(k, len(layout))
+        if place == 0 and interval and mcu and mcu % interval == 0:
+            scan += flush() + bytes([0xFF, 0xD0 + (mcu // interval - 1) % 8])
+            bits, last = "", [0] * len(sampling)
+        size, code = value(int(block[0]) - last[layout[place]])
+        last[layout[place]] = int(block[0])
+        bits += format(size, "04b") + code
+        run = 0
+        for v in block[1:].tolist():
+            if v == 0:
+                run += 1
+                continue
+            while run > 15:
+                bits += format(symbols.index(0xF0), "08b")
+                run -= 16
+            size, code = value(v)
+            bits += format(symbols.index(run << 4 | size), "08b") + code
+            run = 0
+        if run:
+            bits += format(symbols.index(0), "08b")
+    return out + scan + flush() + b"\xff\xd9", quantiser
+
+
+@pytest.mark.parametrize("sampling", [[(1, 1)], [(1, 1), (1, 1), (1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)]])
+@pytest.mark.parametrize("interval", [0, 1, 3])
+def test_jpeg_files_of_another_writer(spark, sampling, interval):
+    rng, gen = random.Random(interval), np.random.default_rng(interval)
+    h, v = sampling[0] if len(sampling) > 1 else (1, 1)
+    width, height = 45, 61
+    wide, high = -(-width // (8 * h)), -(-height // (8 * v))
+    per = 1 if len(sampling) == 1 else sum(a * b for a, b in sampling)
+    blocks = np.zeros((wide * high * per, 64), np.int64)
+    blocks[:, 0] = gen.integers(-60, 60, len(blocks))
+    for b in blocks:
+        at = gen.integers(1, 64, gen.integers(0, 12))
+        b[at] = gen.integers(-300, 300, len(at))
+    data, quantiser = _jpeg_of(blocks, width, height, sampling, interval, rng)
+    ((frame, coef),) = jpeg.decode_batch([data])
+    assert (frame.width, frame.height) == (width, height) and (coef == blocks).all()
+    pixels = jpeg.thumbnail(frame, coef)
+    assert pixels.shape == (-(-height // 8), -(-width // 8))
+    for y in range(pixels.shape[0]):
+        for x in range(pixels.shape[1]):
+            first = ((y // v) * wide + x // h) * per + (y % v) * h + x % h
+            assert pixels[y, x] == np.clip(round(int(blocks[first, 0]) * quantiser[0] / 8 + 128 + 1e-12), 0, 255) or abs(int(blocks[first, 0]) * quantiser[0] / 8 % 1 - 0.5) < 1e-9
+    rows = spark.createDataFrame([(1, bytearray(data), "w"), (2, None, "w"), (3, bytearray(b"no image"), "w"), (4, bytearray(data[: len(data) // 2]), "w"), (5, bytearray(data), "w")], "id long, media binary, width string")
+    got = {r[0]: r for r in media.media_features(rows, columns=("id",)).collect()}
+    want = (width, height, jpeg.thumbnail_hash(pixels))
+    assert tuple(got[1])[1:] == tuple(got[5])[1:] == want and all(tuple(got[k])[1:] == (None,) * 3 for k in (2, 3))
+    assert media.media_features(rows.limit(0), columns=("id",)).count() == 0
+
+
 def test_jpeg_decoder():
     rng = np.random.default_rng(1)
     sizes = np.array([64, 128, 64 * 7, 64 * 300])

@@ -1,8 +1,8 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 A line is dropped if it first occurs earlier (document id, then line number),
-or if a line that does is within ``threshold`` edits of it; distances count
-UTF-8 bytes.
+or if it has ``min_bytes`` or more and a line that does is within ``threshold``
+edits of it; distances count UTF-8 bytes.  Blank lines stay.
 
 1. Occurrences of equal lines combine to distinct lines, with their first
    occurrence (one decimal that orders by document, tie, line number).
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 THRESHOLD = 2
-#: Shorter lines (bytes, without outer white space) stay, but for exact repeats if ``exact_bytes`` says so.
+#: Shorter lines (bytes, without outer white space) go only as exact repeats: two edits make most of them another line.
 MIN_BYTES = 25
 #: A line of more than 1 / HOT of all occurrences is joined by broadcast: fewer than HOT lines.
 HOT = 2000
@@ -170,9 +170,9 @@ def _near(distinct: DataFrame, threshold: int) -> DataFrame:
     return near.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("lid")).distinct()
 
 
-def _dropped(texts: DataFrame, threshold: int, min_bytes: int, exact_bytes: int | None) -> DataFrame:
+def _dropped(texts: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
     """(id, tie, dropped): the line numbers that each document loses, with documents that lose some only."""
-    lines = _lines(texts, min_bytes if exact_bytes is None else min(min_bytes, exact_bytes))
+    lines = _lines(texts, 1)
     distinct = lines.groupBy("line").agg(F.min(_position()).alias("first"), F.count("*").alias("n"))
     distinct = materialise(distinct.withColumn("lid", F.monotonically_increasing_id()), "lines")
     near = _near(distinct.where(F.octet_length("line") >= min_bytes), threshold).withColumn("near", F.lit(True))
@@ -201,20 +201,17 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     id_, tie = _keys(df, doc_id, text)
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), id_.alias("id"), tie.alias("tie"), F.col(text).alias("text"))
     out = texts.select("doc_id", "id", "tie", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    out = out.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).join(_dropped(texts, threshold, min_bytes, None), ["id", "tie"], "left")
+    out = out.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).join(_dropped(texts, threshold, min_bytes), ["id", "tie"], "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(dropped).alias("n_dropped"), dropped.alias("dropped"))
 
 
-def line_dedup(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None
-) -> DataFrame:
+def line_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
     """The rows of ``df`` with all their columns and ``text`` without its dropped lines.
-    Exact repeats of lines of ``exact_bytes`` or more go too, where that is less than ``min_bytes``.
-    A row that loses no line keeps its text as it is; one that loses all has an empty text."""
+    A row that loses no line keeps its text as it is, null too; one that loses all has an empty text."""
     id_, tie = _keys(df, doc_id, text)
     texts = df.select(id_.alias("id"), tie.alias("tie"), F.col(text).alias("text"))
-    gone = _dropped(texts, threshold, min_bytes, exact_bytes).withColumnsRenamed({"id": "__id", "tie": "__tie", "dropped": "__dropped"})
+    gone = _dropped(texts, threshold, min_bytes).withColumnsRenamed({"id": "__id", "tie": "__tie", "dropped": "__dropped"})
     keyed = df.withColumns({"__row": id_, "__row_tie": tie})
     joined = keyed.join(gone, (F.col("__row") == F.col("__id")) & (F.col("__row_tie") == F.col("__tie")), "left")
     lines = F.split(text, "\n")
@@ -227,11 +224,11 @@ SQL = rf"""
 WITH l AS (
   SELECT doc_id, line_no - 1 AS line_no, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
-), e AS (SELECT * FROM l WHERE strlen(line) >= {MIN_BYTES}
+), e AS (SELECT * FROM l WHERE strlen(line) >= 1
 ), d AS (SELECT line, min((doc_id, line_no)) AS first, strlen(line) AS size FROM e GROUP BY line
 ), near AS (
   SELECT DISTINCT b.line FROM d a JOIN d b
-  ON b.size BETWEEN a.size - {THRESHOLD} AND a.size + {THRESHOLD} AND a.first < b.first AND levenshtein(a.line, b.line) <= {THRESHOLD}
+  ON a.size >= {MIN_BYTES} AND b.size >= {MIN_BYTES} AND b.size BETWEEN a.size - {THRESHOLD} AND a.size + {THRESHOLD} AND a.first < b.first AND levenshtein(a.line, b.line) <= {THRESHOLD}
 ), gone AS (
   SELECT e.doc_id, e.line_no FROM e JOIN d USING (line) LEFT JOIN near USING (line)
   WHERE near.line IS NOT NULL OR (e.doc_id, e.line_no) <> d.first

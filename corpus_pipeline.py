@@ -28,9 +28,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that occur earlier go, whatever their length, and longer ones that nearly do; so does a document of which nothing but
-    white space is left.  n_chars follows the text."""
-    kept = line_dedup(docs, exact_bytes=1)
+    """Lines that occur earlier go, and longer ones that nearly do; so does a document of which nothing but white space is left,
+    or that has no text.  n_chars follows the text."""
+    kept = line_dedup(docs)
     kept = kept.where(F.length(F.btrim("text", F.lit(" \t\n\x0b\f\r"))) > 0)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -16,6 +16,7 @@ from .plans import fronts, rounds, tracing
 from .queries import _BLOCKS, _COUNTS, _DIMS, _EVENTS, _FIELD, _JAC, _LOCATED, _POINTS, _blocks, _fixed, _linear_rk, _rotation_seeds, customer_points, events_field, lineitem_field, query, r6, rotation_field
 from .queries_io import customer_lines
 from .schema import Direction, Integration, Order
+from .sql import register_streamlines
 
 RK4 = Integration(order=Order.FOURTH)
 
@@ -400,23 +401,23 @@ def rk45_fixed(spark, sf_dir):
     return _fixed(spark, Order.RK45)
 
 
-def _one_step(order: str) -> str:
-    return f"SELECT seed_id, round(nx, 7) AS x, round(ny, 7) AS y, 0.5e0 AS t, 'OKAY' AS status FROM {_stages(order, _ROTATE, '0.5e0').replace('{source}', _SEED_ROWS)}"
+def _one_step(order: str, digits: int) -> str:
+    return f"SELECT seed_id, round(nx, {digits}) AS x, round(ny, {digits}) AS y, 0.5e0 AS t, 'OKAY' AS status FROM {_stages(order, _ROTATE, '0.5e0').replace('{source}', _SEED_ROWS)}"
 
 
-def _advected(spark: SparkSession, order: Order) -> DataFrame:
+def _advected(spark: SparkSession, order: Order, digits: int) -> DataFrame:
     got = tracing.advect_once(rotation_field(spark), _rotation_seeds(spark).withColumn("t", F.lit(0.0)), 0.5, order)
-    return got.select("seed_id", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"), "t", "status")
+    return got.select("seed_id", F.round("x", digits).alias("x"), F.round("y", digits).alias("y"), "t", "status")
 
 
-@query(_one_step("rk4"))
+@query(_one_step("rk4", 7))
 def advect_once_rk4(spark, sf_dir):
-    return _advected(spark, Order.FOURTH)
+    return _advected(spark, Order.FOURTH, 7)
 
 
-@query(_one_step("rk45"))
+@query(_one_step("rk45", 6))
 def advect_once_rk45(spark, sf_dir):
-    return _advected(spark, Order.RK45)
+    return _advected(spark, Order.RK45, 6)
 
 
 @query("SELECT id AS seed_id, CASE WHEN id % 9 < 8 THEN id % 9 / 2e0 + 0.5e0 ELSE 4e0 END AS x, CASE WHEN id % 9 < 8 THEN 'OKAY' ELSE 'FAIL' END AS status, CASE WHEN id % 9 < 8 THEN 0.5e0 ELSE 0e0 END AS t FROM range(90) r(id)")
@@ -455,6 +456,14 @@ def integration_settings(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, step double, min_step double, max_step double, max_error double, low_angle double, high_angle double, adaptive boolean")
 
 
+@query(_linear_rk("rk4"))
+def streamline_table_function(spark, sf_dir):
+    """The lines of ``rk4_fixed`` from SQL: a lateral join with a table function."""
+    register_streamlines(spark, rotation_field(spark), "streamlines", RK4.fixed(0.25), 25)
+    _rotation_seeds(spark).createOrReplaceTempView("rotation_seeds")
+    return spark.sql("SELECT s.seed_id, l.seq, round(l.x, 6) AS x, round(l.y, 6) AS y FROM rotation_seeds s, LATERAL streamlines(s.x, s.y, s.z) l")
+
+
 def _both(select: str) -> str:
     ahead, back = _stages("rk4", _ROTATE, "0.25e0"), _stages("rk4", _ROTATE, "-0.25e0")
     one = lambda name, step: f"{name} AS (SELECT seed_id, 0 AS seq, x, y FROM {_SEED_ROWS} UNION ALL SELECT seed_id, seq + 1, nx, ny FROM {step.replace('{source}', f'(SELECT seed_id, seq, x, y FROM {name} WHERE seq < 14)')})"

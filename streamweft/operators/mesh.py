@@ -1,8 +1,8 @@
 """Tetrahedral meshes and curvilinear grids: adjacency, location and interpolation.
 
-Points find cells by uniform bins: a cell is listed in every bin that its box
-meets, a point is in one bin, and an exact containment test follows the
-equi-join.  Ties go to the lowest cell id.
+Points find cells by bins of the cells' own magnitude: a cell is listed in every
+bin of its level that its box meets, a point is in one bin a level, and an
+exact containment test follows the equi-join.  Ties go to the lowest cell id.
 """
 
 from __future__ import annotations
@@ -67,25 +67,24 @@ def face_adjacency(tets: DataFrame) -> DataFrame:
     return both.select("tid", "face", other.cast("long").alias("neighbour"))
 
 
-def _bins(low: list[Column], high: list[Column], size: float) -> Column:
+def _bins(low: list[Column], high: list[Column], size: Column) -> Column:
     ranges = [F.sequence(F.floor(a / size), F.floor(b / size)) for a, b in zip(low, high, strict=True)]
     return F.flatten(F.transform(ranges[0], lambda a: F.flatten(F.transform(ranges[1], lambda b: F.transform(ranges[2], lambda c: F.struct(a.alias("bx"), b.alias("by"), c.alias("bz")))))))
 
 
-def bin_size(cells: DataFrame, corners: int) -> float:
-    """The median extent of the cells' boxes, at least a tiny one."""
-    wide = F.greatest(*(F.greatest(*(f"{p}{n}" for n in range(corners))) - F.least(*(f"{p}{n}" for n in range(corners))) for p in _P))
-    got = cells.select(wide.alias("w")).agg(F.percentile_approx("w", 0.5)).first()[0]
-    return max(float(got or 1.0), 1e-9)
-
-
 def _candidates(points: DataFrame, cells: DataFrame, corners: int, slack: float) -> DataFrame:
-    size = bin_size(cells, corners)
+    """Pairs of points and cells whose boxes may hold them.  A cell is listed at the level whose bins
+    (powers of two) are as large as its box, so in two bins an axis at most, however sizes differ;
+    a point asks its bin at every level that occurs (a few, as many as there are magnitudes of sizes)."""
     low = [F.least(*(f"{p}{n}" for n in range(corners))) - slack for p in _P]
     high = [F.greatest(*(f"{p}{n}" for n in range(corners))) + slack for p in _P]
-    listed = cells.withColumn("__b", F.explode(_bins(low, high, size))).select("*", "__b.bx", "__b.by", "__b.bz").drop("__b")
-    placed = points.withColumns({f"b{p}": F.floor(F.col(p) / size) for p in _P})
-    return placed.join(listed, ["bx", "by", "bz"])
+    wide = F.greatest(*(b - a for a, b in zip(low, high, strict=True)), F.lit(1e-9))
+    leveled = cells.withColumn("__level", F.ceil(F.log2(wide)).cast("int"))
+    levels = sorted(r[0] for r in leveled.select("__level").distinct().collect() if r[0] is not None)
+    size = F.pow(F.lit(2.0), F.col("__level"))
+    listed = leveled.withColumn("__b", F.explode(_bins(low, high, size))).select("*", "__b.bx", "__b.by", "__b.bz").drop("__b")
+    placed = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    return placed.withColumns({f"b{p}": F.floor(F.col(p) / size) for p in _P}).join(listed, ["__level", "bx", "by", "bz"])
 
 
 def locate_tets(points: DataFrame, tets: DataFrame, vertices: DataFrame, key: str = "point_id", tolerance: float = 1e-9) -> DataFrame:

@@ -297,6 +297,18 @@ def test_mesh_location(spark):
     assert mesh.face_adjacency(tets).where("neighbour IS NULL").count() == 6 * 4 * 2
 
 
+def test_cells_of_very_different_sizes_are_found(spark):
+    """One tetrahedron a thousand times as large as the others."""
+    corner = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    data = [(4 * n + q, n * 2 + s * p[0], s * p[1], s * p[2]) for n, s in ((0, 1.0), (1, 1.0), (50, 1000.0)) for q, p in enumerate(corner)]
+    ids = {n: k for k, n in enumerate((0, 1, 50))}
+    vertices = spark.createDataFrame([(4 * ids[(v // 4)] + v % 4, float(x), float(y), float(z)) for v, x, y, z in data], "vid long, x double, y double, z double")
+    tets = spark.createDataFrame([(k, *(4 * k + q for q in range(4))) for k in range(3)], "tid long, v0 long, v1 long, v2 long, v3 long")
+    p = spark.createDataFrame([(1, 0.2, 0.2, 0.2), (2, 2.1, 0.1, 0.1), (3, 400.0, 200.0, 100.0), (4, -5.0, 0.0, 0.0)], "point_id long, x double, y double, z double")
+    got = {r.point_id: r.tid for r in mesh.locate_tets(p, tets, vertices).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: None}
+
+
 def test_aggregates(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 2.0)], "proc int, steps double")
     r = aggregate.run_statistics(df, "proc", "steps", integer_means=True).first()

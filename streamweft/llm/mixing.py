@@ -8,17 +8,17 @@ sampled at rate r adds r * n * p[d] expected tokens to domain d.  Rates r >= 0
 are fitted by projected gradient on the least squares of the domains' totals
 against their targets, from r = 1 on:
 
-    r <- max(0, r - p . g),   g = G^-1 (totals - targets),   G = sum n p p^T
+    r <- max(0, r - p . g),   g = G^-1 (totals - targets),   G = sum n p p^T over r > 0
 
-(errors are weighed by G^-1, documents by their tokens, which makes the step
-length 1).  A round is one aggregation over (n, p); only domain totals come to
+(the gradient is scaled by the documents that can still move either way, which
+makes the step length 1).  A round is one aggregation over (n, p); only domain totals come to
 the driver, and a document's rate follows from its own p and the rounds' g, so
 rates are never shuffled, joined or stored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +38,8 @@ MULTIPLES = {"high": 1.25, "low": 0.5, "toxic": 0.05}
 #: Labelled documents to learn from: those of smallest id hash, if there are more.
 TRAIN_ROWS = 20_000
 ROUNDS = 40
-#: Rounds end when no total misses its target by more than this share of all tokens, or when the error stops falling.
-TOLERANCE = 1e-5
+#: Rounds end when no total misses its target by more than this share of all tokens, or when that hasn't come closer for PATIENCE rounds.
+TOLERANCE, PATIENCE = 1e-5, 8
 
 _BUCKETS = 1 << 16
 _LEAST_DOCS = 5
@@ -121,7 +121,7 @@ def train_domains(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 x = model.features(part.column("text"))
                 at = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("domain"), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["domain", "x"])
@@ -141,6 +141,30 @@ def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
+def domain_sums(n: np.ndarray, p: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """The expected domain totals at ``rate``, and the sums of n p p^T over rows of positive rate, in a row."""
+    active = p * (n * (rate > 0))[:, None]
+    return np.concatenate([(rate * n) @ p, (active.T @ p).ravel()])
+
+
+def descend(sums: Callable[[list[np.ndarray]], np.ndarray], goal: Callable[[np.ndarray], np.ndarray], rounds: int = ROUNDS) -> list[np.ndarray]:
+    """The g of the rounds up to the closest one.  ``sums`` gives ``domain_sums`` after some steps, ``goal`` the targets from the totals at rate 1."""
+    steps: list[np.ndarray] = []
+    best, kept, want = np.inf, 0, None
+    while True:
+        found = sums(steps)
+        k = round((np.sqrt(4 * len(found) + 1) - 1) / 2)
+        totals, gram = found[:k], found[k:].reshape(k, k)
+        want = goal(totals) if want is None else want
+        error = totals - want
+        size = np.abs(error).max() / max(1.0, want.sum())
+        if size < best:
+            best, kept = size, len(steps)
+        if best <= TOLERANCE or len(steps) == rounds or len(steps) - kept >= PATIENCE:
+            return steps[:kept]
+        steps.append(np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ error)
+
+
 def fit_steps(scored: DataFrame, targets: Mapping[str, float] | None, multiples: Mapping[str, float], rounds: int = ROUNDS) -> list[np.ndarray]:
     """The g of each round, for (n_tokens, p_<domain>...) rows.  ``targets`` are token totals;
     without them ``multiples`` of the domains' totals at rate 1 are."""
@@ -148,34 +172,19 @@ def fit_steps(scored: DataFrame, targets: Mapping[str, float] | None, multiples:
     names = [f"p_{d}" for d in DOMAINS]
     schema = ", ".join([f"s{i} double" for i in range(k)] + [f"g{i} double" for i in range(k * k)])
 
-    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def sums(steps: list[np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(k + k * k)
             for batch in batches:
                 n = batch.column("n_tokens").to_numpy().astype(float)
                 p = np.stack([batch.column(c).to_numpy() for c in names], 1)
-                total[:k] += (_rates(p, steps) * n) @ p
-                total[k:] += ((p * n[:, None]).T @ p).ravel()
+                total += domain_sums(n, p, _rates(p, steps))
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=[f.split()[0] for f in schema.split(", ")])
 
         row = scored.select("n_tokens", *names).mapInArrow(run, schema)
-        row = np.array([v or 0.0 for v in row.agg(*(F.sum(c).alias(c) for c in row.columns)).first()])
-        return row[:k], row[k:].reshape(k, k)
+        return np.array([v or 0.0 for v in row.agg(*(F.sum(c).alias(c) for c in row.columns)).first()])
 
-    steps: list[np.ndarray] = []
-    last = np.inf
-    for _ in range(rounds):
-        totals, gram = sums(steps)
-        if not steps:
-            goal = np.array([float(targets[d]) if targets is not None else multiples[d] * t for d, t in zip(DOMAINS, totals, strict=True)])
-            inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
-        error = totals - goal
-        size = float(error @ inverse @ error)
-        if np.abs(error).max() <= TOLERANCE * max(1.0, goal.sum()) or size > 0.999 * last:
-            break
-        last = size
-        steps.append(inverse @ error)
-    return steps
+    return descend(sums, lambda totals: np.array([float(targets[d]) if targets is not None else multiples[d] * t for d, t in zip(DOMAINS, totals, strict=True)]), rounds)
 
 
 def _score(df: DataFrame, model: DomainModel, doc_id: str, text: str, tokenizer: str) -> DataFrame:
@@ -185,7 +194,7 @@ def _score(df: DataFrame, model: DomainModel, doc_id: str, text: str, tokenizer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 p = model.posteriors(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(enc.counts(part.column("text"))), *(pa.array(np.ascontiguousarray(c)) for c in p.T)], names=names)
 
@@ -246,7 +255,7 @@ def mix_documents(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at_text, 2 << 20):
+            for part in slices(batch, at_text):
                 rate = _rates(model.posteriors(part.column("text")), steps)
                 copies = _copies(rate, part.column("id").fill_null(0).to_numpy())
                 yield part.select(names).take(pa.array(np.repeat(np.arange(len(copies)), copies)))

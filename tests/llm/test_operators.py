@@ -492,10 +492,10 @@ def test_mixing_equals_a_small_least_squares(targets):
     before = n @ p
     goal = before * np.array(targets)
     inverse = np.linalg.pinv((p * n[:, None]).T @ p, rcond=1e-9, hermitian=True)
-    steps = []
-    for _ in range(mixing.ROUNDS):
-        steps.append(inverse @ ((mixing._rates(p, steps) * n) @ p - goal))
-    mine = (mixing._rates(p, steps) * n) @ p
+    steps = mixing.descend(lambda steps: mixing.domain_sums(n, p, mixing._rates(p, steps)), lambda totals: goal)
+    rates = mixing._rates(p, steps)
+    mine = (rates * n) @ p
+    assert (rates >= 0).all() and len(steps) < 15
     r = np.ones(400)
     for _ in range(400):  # exact coordinate descent of (t(r) - goal)' inverse (t(r) - goal), r >= 0
         total = (r * n) @ p
@@ -506,7 +506,7 @@ def test_mixing_equals_a_small_least_squares(targets):
             total = total + change * a
     other = (r * n) @ p
     size = lambda t: (t - goal) @ inverse @ (t - goal)
-    assert np.abs(other / goal - 1).max() < 0.01 and np.abs(mine / goal - 1).max() < 0.01 and size(mine) <= size(other) + 1e-4 * goal.sum()
+    assert np.abs(other / goal - 1).max() < 0.03 and np.abs(mine / goal - 1).max() < 0.01 and size(mine) <= size(other) + 1e-6 * goal.sum()
 
 
 def test_mixing(spark):
@@ -515,7 +515,7 @@ def test_mixing(spark):
     n, p, r = (np.array(a, float) for a in ([x.n_tokens for x in got], [[x.p_high, x.p_low, x.p_toxic] for x in got], [x.rate for x in got]))
     before, after = n @ p, (n * r) @ p
     want = before * [mixing.MULTIPLES[d] for d in mixing.DOMAINS]
-    assert (r >= 0).all() and np.allclose(p.sum(1), 1) and np.abs(after - want).max() < 0.02 * before.sum()
+    assert (r >= 0).all() and np.allclose(p.sum(1), 1) and np.abs(after - want).max() < 0.02 * before.sum() and np.abs(after / want - 1).max() < 0.05
     assert all(x.copies in (np.floor(x.rate), np.floor(x.rate) + 1) for x in got)
     mixed = mixing.mix_documents(df, labels)
     assert mixed.columns == df.columns and mixed.count() == sum(x.copies for x in got)

@@ -7,6 +7,7 @@ loops over words or characters in Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -145,8 +146,9 @@ def split_words(texts: pa.Array) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with at most ``limit`` bytes of text, or one row, and at most ``SLICE_ROWS`` rows."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with at most ``limit`` bytes of text, or one row, and at most
+    ``SLICE_ROWS`` rows: what a worker holds at a time doesn't grow with the batch."""
     if not batch.num_rows:
         return
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -155,3 +157,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         j = min(max(i + 1, int(np.searchsorted(size, base + limit, "right"))), i + SLICE_ROWS)
         yield batch.slice(i, j - i)
         i, base = j, int(size[j - 1])
+    _give_back()
+
+
+def _give_back() -> None:
+    """Free memory goes back to the system, for idle Python workers stay alive beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -24,6 +24,10 @@ from .kernel import STATUS, Grid, clip_share, step, trace
 BROADCAST_BYTES = 256 << 20
 #: Values of a block of a larger field, without ghosts.
 BLOCK_BYTES = 32 << 20
+#: Points that a task holds of one direction, at most: seeds are traced as many at a time as may reach them.
+POINTS_AT_ONCE = 1 << 20
+#: Rows of a batch sent back to Spark.
+OUT_ROWS = 1 << 16
 
 
 def dense_grid(field: FlowField, run_seed: int = 0, normalize: bool = False) -> Grid:
@@ -36,47 +40,78 @@ def dense_grid(field: FlowField, run_seed: int = 0, normalize: bool = False) ->
     return Grid(field.to_numpy(), field.lo, field.hi, field.real_lo, field.real_hi, float(field.t_range[0]), spread, run_seed, normalize)
 
 
-def _table(seed: np.ndarray, sign: np.ndarray, grid_rows: tuple, keep: np.ndarray | None = None) -> pa.RecordBatch:
-    row, seq, place, when, state = grid_rows
-    order = np.lexsort((seq, row))
-    row, seq, place, when = row[order], seq[order], place[order], when[order]
-    if keep is not None:
-        use = keep[row]
-        row, seq, place, when = row[use], seq[use], place[use], when[use]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(seed[row]), pa.array(sign[row].astype(np.int32)), pa.array(seq.astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in place.T), pa.array(when), pa.array(np.array(STATUS, object)[state[row]], pa.string())],
-        names=["seed_id", "dir", "seq", "x", "y", "z", "t", "status"],
-    )
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, three tasks a core.  A few bytes of a seed make many points, so neither the
+    splits of its file nor AQE's sizes say how much work it is; a number given here is kept by AQE."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, *rows.columns)
+
+
+def _lines(found: tuple, n: int) -> tuple:
+    """The points of ``trace`` line by line (row, seq, place, when), and each line's count and status."""
+    row, seq, place, when, state = found
+    counts = np.bincount(row, minlength=n)
+    order = np.empty(len(row), np.int64)
+    order[(np.cumsum(counts) - counts)[row] + seq] = np.arange(len(row))  # seq has no gaps
+    return row[order], seq[order], place[order], when[order], counts, state
+
+
+def _merged(back: tuple, on: tuple) -> tuple:
+    """One line a seed: the backward one reversed, then the forward one, the shared seed once."""
+    first, second = back[4], on[4]
+    row_b, seq_b, place_b, when_b = back[:4]
+    row_f, seq_f, place_f, when_f = (c[(on[1] > 0) | (first[on[0]] == 0)] for c in on[:4])
+    joint = (first > 0) & (second > 0)
+    counts = first + second - joint
+    start = np.cumsum(counts) - counts
+    n, cut = int(counts.sum()), len(row_b)
+    order = np.empty(n, np.int64)
+    order[start[row_b] + first[row_b] - 1 - seq_b] = np.arange(cut)
+    order[start[row_f] + first[row_f] + seq_f - joint[row_f]] = np.arange(cut, n)
+    row, place, when = (np.concatenate(c)[order] for c in ((row_b, row_f), (place_b, place_f), (when_b, when_f)))
+    return row, np.arange(n) - start[row], place, when, np.concatenate([back[5][row_b], on[5][row_f]])[order]
+
+
+def _batches(seed: np.ndarray, sign: int | None, row: np.ndarray, seq: np.ndarray, place: np.ndarray, when: np.ndarray, state: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Record batches of points, ``state`` one a point; without ``sign`` no dir."""
+    names, status = pa.array(STATUS), state.astype(np.int8)
+    for low in range(0, len(row), OUT_ROWS):
+        part = slice(low, low + OUT_ROWS)
+        lead = [] if sign is None else [pa.array(np.full(len(row[part]), sign, np.int32))]
+        columns = [pa.array(seed[row[part]]), *lead, pa.array(seq[part].astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in place[part].T), pa.array(when[part]), names.take(pa.array(status[part]))]
+        yield pa.RecordBatch.from_arrays(columns, names=["seed_id", *["dir"] * len(lead), "seq", "x", "y", "z", "t", "status"])
 
 
 def _signs(direction: Direction) -> list[float]:
     return [s for bit, s in ((Direction.BACKWARD, -1.0), (Direction.FORWARD, 1.0)) if direction & bit]
 
 
-def _trace(field: FlowField, seeds: DataFrame, direction: Direction, options: Integration, max_points: int, run_seed: int, least: int, steady: bool, empty: bool, normalize: bool) -> DataFrame:
+def _trace(field: FlowField, seeds: DataFrame, direction: Direction, options: Integration, max_points: int, run_seed: int, least: int, steady: bool, empty: bool, normalize: bool, merge: bool = False) -> DataFrame:
     grid = seeds.sparkSession.sparkContext.broadcast(dense_grid(field, run_seed, normalize))
     t0 = float(field.t_range[0])
     rows = seeds.select("seed_id", "x", "y", "z", (F.col("t").cast("double") if "t" in seeds.columns else F.lit(t0)).alias("t"))
+    at_once = max(1, POINTS_AT_ONCE // max(max_points, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = grid.value
         if steady and g.time_varying:
             g = replace(g, values=g.values[:1], real_t=None)
-        for batch in batches:
+        for batch in (b.slice(low, at_once) for b in batches for low in range(0, b.num_rows, at_once)):
             ids = batch.column("seed_id").to_numpy()
             p = np.stack([batch.column(c).to_numpy() for c in "xyz"], 1)
             t = batch.column("t").to_numpy()
-            for s in _signs(direction):
-                sign = np.full(len(ids), s)
-                found = trace(g, p, t, sign, ids, options, max_points)
-                counts = np.bincount(found[0], minlength=len(ids))
+            lines = {int(s): _lines(trace(g, p, t, np.full(len(ids), s), ids, options, max_points), len(ids)) for s in _signs(direction)}
+            if merge:
+                yield from _batches(ids, None, *_merged(lines[-1], lines[1]))
+                continue
+            for sign, (row, seq, place, when, counts, state) in lines.items():
                 if empty and (counts == 0).any():
                     gone = np.flatnonzero(counts == 0)
-                    none = [pa.array(ids[gone]), pa.array(sign[gone].astype(np.int32)), *(pa.nulls(len(gone), k) for k in (pa.int32(), *[pa.float64()] * 4)), pa.array(np.array(STATUS, object)[found[4][gone]], pa.string())]
+                    none = [pa.array(ids[gone]), pa.array(np.full(len(gone), sign, np.int32)), *(pa.nulls(len(gone), k) for k in (pa.int32(), *[pa.float64()] * 4)), pa.array(STATUS).take(pa.array(state[gone]))]
                     yield pa.RecordBatch.from_arrays(none, names=["seed_id", "dir", "seq", "x", "y", "z", "t", "status"])
-                yield _table(ids, sign, found, counts >= least)
+                use = slice(None) if least <= 1 else (counts >= least)[row]
+                yield from _batches(ids, sign, row[use], seq[use], place[use], when[use], state[row[use]])
 
-    return rows.mapInArrow(run, TRACE_ROWS)
+    return spread(rows).mapInArrow(run, TRACE_ROWS.replace("dir int, ", "") if merge else TRACE_ROWS)
 
 
 def _by_blocks(field: FlowField, seeds: DataFrame, direction: Direction, options: Integration, max_points: int, least: int, empty: bool, normalize: bool) -> DataFrame:
@@ -228,13 +263,23 @@ def infinite_lines(field: FlowField, seeds: DataFrame, options: Integration = In
 
 
 def merge_directions(points: DataFrame) -> DataFrame:
-    """One line a seed: the backward part reversed, the shared seed once, then the forward part."""
-    rows = points.where("seq IS NOT NULL AND NOT (dir = 1 AND seq = 0)").unionByName(
-        points.where("dir = 1 AND seq = 0").join(points.where("dir = -1 AND seq = 0").select("seed_id"), "seed_id", "left_anti").select(*points.columns)
-    )
-    place = F.when(F.col("dir") < 0, -F.col("seq")).otherwise(F.col("seq"))
-    w = Window.partitionBy("seed_id").orderBy("place")
-    return rows.withColumn("place", place).withColumn("seq", (F.row_number().over(w) - 1).cast("int")).drop("place", "dir")
+    """One line a seed: the backward part reversed, the shared seed once, then the forward part.
+    ``points`` are read and sorted once."""
+    seed = F.col("seq") == 0
+    w = Window.partitionBy("seed_id").orderBy("place", "dir").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = points.where("seq IS NOT NULL").withColumn("place", F.when(F.col("dir") < 0, -F.col("seq")).otherwise(F.col("seq")))
+    # the seed's backward copy sorts before its forward one
+    rows = rows.withColumns({"shared": F.max(seed & (F.col("dir") == -1)).over(w), "ahead": F.count(F.when(seed & (F.col("dir") == 1), 1)).over(w), "number": F.count("*").over(w)})
+    number = F.col("number") - 1 - F.when(F.col("shared"), F.col("ahead")).otherwise(0)
+    return rows.where(~(seed & (F.col("dir") == 1) & F.col("shared"))).withColumn("seq", number.cast("int")).drop("place", "dir", "shared", "ahead", "number")
+
+
+def merged_streamlines(field: FlowField, seeds: DataFrame, options: Integration = Integration(), max_points: int = 1000, run_seed: int = 0, normalize: bool = False) -> DataFrame:
+    """Steady lines in both directions as one line a seed (seed_id, seq, x, y, z, t, status), as
+    ``merge_directions`` makes them.  Both parts of a line are traced in one task and joined there."""
+    if field.size_bytes() > BROADCAST_BYTES:
+        return merge_directions(streamlines(field, seeds, Direction.BOTH, options, max_points, run_seed=run_seed, normalize=normalize))
+    return _trace(field, seeds, Direction.BOTH, options, max_points, run_seed, 1, True, False, normalize, merge=True)
 
 
 def uncertain_streamlines(field: FlowField, seeds: DataFrame, samples: int, run_seed: int = 0, **options) -> DataFrame:

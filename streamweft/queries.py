@@ -681,7 +681,7 @@ def streamlines_rk45(spark, sf_dir):
 
 @query()
 def streamlines_merged(spark, sf_dir):
-    return tracing.merge_directions(tracing.streamlines(lineitem_field(spark, sf_dir), _seeds(spark, sf_dir), max_points=100))
+    return tracing.merged_streamlines(lineitem_field(spark, sf_dir), _seeds(spark, sf_dir), max_points=100)
 
 
 @query()

@@ -248,6 +248,29 @@ def test_iso_surface_of_a_sphere(spark):
     assert set(edges.values()) == {2}  # closed
 
 
+def test_merged_lines_are_traced_once_and_joined_in_their_task(spark):
+    field = rotation(spark, 9, 5)
+    seeds = seeds_of(spark, [(6, 4, 2), (4, 4, 2), (7.5, 4, 1), (20, 4, 2), (1, 1, 1)])  # the second at rest, the fourth outside
+    options = Integration(max_step=0.5)
+    both = tracing.streamlines(field, seeds, Direction.BOTH, options, 40, emit_empty=True)
+    merged = tracing.merge_directions(both)
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    names = ("seed_id", "seq", "x", "y", "z", "t", "status")
+    in_task = tracing.merged_streamlines(field, seeds, options, 40)
+    assert "Window" not in in_task._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(rows(in_task, *names)) == sorted(rows(merged, *names))
+    back = {(r.seed_id, -r.seq): r for r in both.where("dir = -1 AND seq IS NOT NULL").collect()}
+    on = {(r.seed_id, r.seq): r for r in both.where("dir = 1 AND seq > 0").collect()}
+    line = {key: (r.x, r.y, r.z, r.t, r.status) for key, r in (back | on).items()}
+    expected = []
+    for seed in (0, 2, 4):
+        keys = sorted(k for k in line if k[0] == seed)
+        expected += [(seed, n, *line[k]) for n, k in enumerate(keys)]
+    assert len(expected) > 60 and sorted(rows(merged, *names)) == expected
+    # a line with a forward part only keeps its seed
+    assert rows(tracing.merge_directions(both.where("dir = 1")).where("seed_id = 0").orderBy("seq").limit(2), "seq", "x") == [(0, 6.0), (1, on[0, 1].x)]
+
+
 def test_uncertain_field_without_spread_is_deterministic(spark):
     field = rotation(spark)
     sure = field.with_nodes(field.nodes.withColumns({f"s{c}": F.lit(0.0) for c in "uvw"}))

@@ -79,10 +79,16 @@ class Grid:
     def _at(self, values: np.ndarray, t: np.ndarray, c: np.ndarray, f: np.ndarray) -> np.ndarray:
         i, j, k = c.T
         nx, ny, nz = self.dims
-        i1, j1, k1 = np.minimum(i + 1, nx - 1), np.minimum(j + 1, ny - 1), np.minimum(k + 1, nz - 1)
+        flat = values.reshape(-1, 3)
+        at = ((t * nz + k) * ny + j) * nx + i
+        right, back, up = (np.where(n + 1 < m, stride, 0) for n, m, stride in zip((i, j, k), (nx, ny, nz), (1, nx, nx * ny), strict=True))
+        behind, above = at + back, at + up
+        over = behind + up
         a, b, d = (f[:, n, None] for n in range(3))
-        low = (values[t, k, j, i] * (1 - a) + values[t, k, j, i1] * a) * (1 - b) + (values[t, k, j1, i] * (1 - a) + values[t, k, j1, i1] * a) * b
-        high = (values[t, k1, j, i] * (1 - a) + values[t, k1, j, i1] * a) * (1 - b) + (values[t, k1, j1, i] * (1 - a) + values[t, k1, j1, i1] * a) * b
+        na, nb = 1 - a, 1 - b
+        value = lambda node: flat.take(node, axis=0)
+        low = (value(at) * na + value(at + right) * a) * nb + (value(behind) * na + value(behind + right) * a) * b
+        high = (value(above) * na + value(above + right) * a) * nb + (value(over) * na + value(over + right) * a) * b
         return low * (1 - d) + high * d
 
     def _gauss(self, row: np.ndarray) -> np.ndarray:

@@ -271,6 +271,34 @@ def test_merged_lines_are_traced_once_and_joined_in_their_task(spark):
     assert rows(tracing.merge_directions(both.where("dir = 1")).where("seed_id = 0").orderBy("seq").limit(2), "seq", "x") == [(0, 6.0), (1, on[0, 1].x)]
 
 
+def test_seeds_of_one_split_are_traced_by_all_cores(spark):
+    field = rotation(spark, 9, 5)
+    seeds = seeds_of(spark, [(4 + n / 50, 4, 2) for n in range(1, 150)]).coalesce(1)
+    got = tracing.streamlines(field, seeds, Direction.FORWARD, RK4.fixed(0.25), 5)
+    used = got.select("seed_id", F.spark_partition_id().alias("task")).distinct()
+    assert used.count() == 149 and used.select("task").distinct().count() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_lookups_of_flat_nodes_are_the_trilinear_blend():
+    random = np.random.default_rng(5)
+    for shape in ((1, 4, 5, 6, 3), (3, 1, 5, 2, 3), (2, 3, 1, 1, 3)):
+        values = random.normal(size=shape)
+        top = np.array(shape[3:0:-1]) - 1.0
+        grid = kernel.Grid(values, np.zeros(3), top, np.zeros(3), top)
+        p = np.concatenate([random.uniform(size=(50, 3)) * top, [top, 0 * top]])
+        t = random.uniform(0, shape[0] - 1, len(p))
+        got, ok = grid.sample(p, t, np.arange(len(p)))
+        assert ok.all()
+        for q, s, v in zip(p, t, got, strict=True):
+            want = np.zeros(3)
+            for corner in np.ndindex(2, 2, 2, 2):
+                low = np.minimum(np.floor([s, *q[::-1]]), np.maximum(np.array(shape[:4]) - 2, 0)).astype(int)
+                part = np.array([s, *q[::-1]]) - low
+                weight = np.prod(np.where(corner, part, 1 - part))
+                want += weight * values[tuple(np.minimum(low + corner, np.array(shape[:4]) - 1))]
+            np.testing.assert_allclose(v, want, atol=1e-12)
+
+
 def test_uncertain_field_without_spread_is_deterministic(spark):
     field = rotation(spark)
     sure = field.with_nodes(field.nodes.withColumns({f"s{c}": F.lit(0.0) for c in "uvw"}))

@@ -1,7 +1,7 @@
 """Tracing by blocks: particles travel, the field stays.
 
 Every block is one row (a brick of dense values with ghost nodes).  A round
-co-groups active particles with the bricks, traces each inside its block until
+brings active particles to the bricks, traces each inside its block until
 it leaves the real box, and sends its last point to the block that holds it.
 Rounds end when nobody is active.  Round tables are written to the shared
 folder, so a lost executor repeats one round at most.
@@ -14,7 +14,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from ..field import FlowField
 from ..operators.blocks import block_bounds, factor_blocks, halo_nodes, point_to_block, with_ghosts
 from ..schema import Integration
 from .kernel import STATUS, Grid, trace
+from .tracing import OUT_ROWS, POINTS_AT_ONCE
 
 _POINTS = "seed_id long, round int, block int, seq int, x double, y double, z double, t double"
 _MOVED = _POINTS + ", status string, last boolean, h double, px double, py double, pz double"
@@ -97,7 +98,8 @@ def trace_by_blocks(
     needs nodes beyond the ``ghost`` layers, it raises.
 
     Only bricks of blocks with particles are read; a crowded block's particles
-    are split over tasks, each with the brick.
+    are split over tasks, each with the brick.  A task reads its brick first and then particles batch
+    by batch, and holds ``POINTS_AT_ONCE`` points at most, however many the particles are.
     """
     spark = seeds.sparkSession
     dims = (*field.dims, field.t_range[1] - field.t_range[0] + 1)
@@ -121,12 +123,10 @@ def trace_by_blocks(
     names = [c.split()[0] for c in _MOVED.split(", ")]
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 4, pa.string(), pa.bool_(), *[pa.float64()] * 4)
 
+    at_once = max(1, POINTS_AT_ONCE // max(max_points, 1))
+
     def advance_in(round_: int):
-        def advance(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
-            brick = right.to_pylist()[0]
-            grid = _grid(lo, spacing, t0, brick, domain, normalize)
+        def some(grid: Grid, block: int, left: pa.RecordBatch) -> pa.RecordBatch:
             ids, seq0 = left.column("seed_id").to_numpy(), left.column("seq").to_numpy()
             p = np.stack([left.column(c).to_numpy() for c in "xyz"], 1)
             number_of = lambda c: left.column(c).to_numpy(zero_copy_only=False).astype(float)
@@ -148,12 +148,31 @@ def trace_by_blocks(
                     raise ValueError(f"a step needs nodes beyond the {ghost} ghost layers of its block")
             new = (seq > 0) | (seq0[row] == 0)
             full = (number == max_points - 1) & ~(ended & np.isin(state[row], (2, 3)))
-            status = np.array(STATUS, object)[np.where(full, 5, state[row])]
-            columns = [ids[row], np.full(len(row), round_), np.full(len(row), brick["block"]), number, *where.T, when, status, on, carry["h"][row], *carry["previous"][row].T]
-            return pa.table({n: pa.array(np.ascontiguousarray(c)[new], k) for n, c, k in zip(names, columns, kinds, strict=True)})
+            status = pa.array(STATUS).take(pa.array(np.where(full, 5, state[row])[new]))
+            columns = [ids[row], np.full(len(row), round_), np.full(len(row), block), number, *where.T, when, status, on, carry["h"][row], *carry["previous"][row].T]
+            return pa.RecordBatch.from_arrays([c if n == "status" else pa.array(np.ascontiguousarray(c)[new], k) for n, c, k in zip(names, columns, kinds, strict=True)], names=names)
+
+        def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grid, block, waiting = None, -1, []
+            for batch in batches:
+                found = batch.column("brick")
+                if found.null_count < len(found):
+                    brick = found.drop_null()[0].as_py()
+                    grid, block = _grid(lo, spacing, t0, brick, domain, normalize), batch.column("block")[0].as_py()
+                    batch = batch.filter(found.is_null())
+                waiting.append(batch.select(carried))
+                if grid is None:  # the brick is sorted to the front, so nothing waits long
+                    continue
+                for left in waiting:
+                    for first in range(0, left.num_rows, at_once):
+                        got = some(grid, block, left.slice(first, at_once))
+                        yield from (got.slice(low, OUT_ROWS) for low in range(0, got.num_rows, OUT_ROWS))
+                waiting = []
 
         return advance
 
+    carried = ["seed_id", "x", "y", "z", "t", "seq", "h", "px", "py", "pz"]
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     round_ = 0
     while True:
         if max_rounds is not None and round_ >= max_rounds:
@@ -161,7 +180,10 @@ def trace_by_blocks(
         crowds = active.groupBy("block").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))  # a row a block
         split = active.join(crowds, "block").withColumn("part", F.pmod(F.xxhash64("seed_id"), "parts").cast("int")).drop("parts")
         copies = stored.join(crowds, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        moved = split.groupBy("block", "part").cogroup(copies.groupBy("block", "part")).applyInArrow(advance_in(round_), _MOVED)
+        copies = copies.select("block", "part", F.struct(*(c for c in stored.columns if c != "block")).alias("brick"))
+        both = split.unionByName(copies, allowMissingColumns=True).withColumn("particle", F.col("brick").isNull())
+        both = both.repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "particle")
+        moved = both.groupBy("block", "part").applyInArrow(advance_in(round_), _MOVED)
         moved = shared_table(moved, "round")
         points = moved if points is None else points.unionByName(moved)
         came_from = moved.where("last").select("seed_id", "x", "y", "z", "t", "seq", "h", "px", "py", "pz", F.col("block").alias("came_from"))

@@ -248,6 +248,28 @@ def test_iso_surface_of_a_sphere(spark):
     assert set(edges.values()) == {2}  # closed
 
 
+def test_blocks_hold_a_bounded_number_of_points(spark, monkeypatch):
+    field = rotation(spark)
+    seeds = seeds_of(spark, [(9 + n / 8, 8, 2) for n in range(1, 50)])
+    whole = rounds.trace_by_blocks(field, seeds, 4, RK4.fixed(0.25), 60, with_status=True)
+    names = ("seed_id", "round", "block", "seq", "x", "y", "z", "t", "status")
+    expected = sorted(rows(whole, *names))
+    trace = rounds.trace
+
+    def five_at_most(grid, p, *rest):
+        assert len(p) <= 5
+        return trace(grid, p, *rest)
+
+    monkeypatch.setattr(rounds, "trace", five_at_most)  # goes to the workers with the function that calls it
+    monkeypatch.setattr(rounds, "POINTS_AT_ONCE", 6 * 60)
+    with pytest.raises(Exception, match="AssertionError"):
+        rounds.trace_by_blocks(field, seeds, 4, RK4.fixed(0.25), 60)
+    monkeypatch.setattr(rounds, "POINTS_AT_ONCE", 5 * 60)
+    monkeypatch.setattr(rounds, "OUT_ROWS", 7)
+    few = rounds.trace_by_blocks(field, seeds, 4, RK4.fixed(0.25), 60, with_status=True)
+    assert sorted(rows(few, *names)) == expected and len(expected) > 1000
+
+
 def test_merged_lines_are_traced_once_and_joined_in_their_task(spark):
     field = rotation(spark, 9, 5)
     seeds = seeds_of(spark, [(6, 4, 2), (4, 4, 2), (7.5, 4, 1), (20, 4, 2), (1, 1, 1)])  # the second at rest, the fourth outside

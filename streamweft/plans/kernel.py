@@ -21,7 +21,8 @@ class Grid:
     """Dense values (nt, nz, ny, nx, 3) and the boxes of lookups and of traces.
 
     With ``spread`` (same shape) every lookup draws a value: a polar pair gives
-    Gaussian deviates from a counter hash of (sample key, lookup number).
+    Gaussian deviates from a counter hash of (sample key, lookup number).  ``trace`` numbers
+    the lookups of each line, so a line is the same whatever is traced with it.
     """
 
     values: np.ndarray
@@ -160,6 +161,10 @@ def _turn(before: np.ndarray, at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.degrees(np.arccos(np.clip(cosine, -1, 1)))
 
 
+#: Number of the lookups before a backward line's first.
+_BACK = 1 << 40
+
+
 def trace(grid: Grid, seeds: np.ndarray, times: np.ndarray, sign: np.ndarray, keys: np.ndarray, options: Integration, max_points: int, carry: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Trace a batch: (row, seq, position, time) of all points and each particle's status.
 
@@ -169,6 +174,9 @@ def trace(grid: Grid, seeds: np.ndarray, times: np.ndarray, sign: np.ndarray, ke
     of particles that go on with a line, and gets those after their last step.
     """
     n = len(seeds)
+    # lookups are numbered by a line's own attempts, each direction by itself: draws don't depend on who is traced along
+    base = grid.calls = _BACK if n and sign[0] < 0 else 0
+    attempts, each = 0, {Order.SECOND: 2, Order.FOURTH: 4, Order.RK45: 6}[options.order] + 1
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3)), np.zeros(0), np.zeros(0, np.int64)
     p, t = seeds.astype(float).copy(), times.astype(float).copy()
@@ -197,6 +205,8 @@ def trace(grid: Grid, seeds: np.ndarray, times: np.ndarray, sign: np.ndarray, ke
         a = np.flatnonzero(state == _RUN)
         if not len(a):
             break
+        grid.calls = base + 1 + each * attempts
+        attempts += 1
         grid.watch = True
         new, ok, error = step(grid.sample, options.order, p[a], t[a], h[a], sign[a], keys[a])
         grid.watch = False

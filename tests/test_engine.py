@@ -321,6 +321,26 @@ def test_lookups_of_flat_nodes_are_the_trilinear_blend():
             np.testing.assert_allclose(v, want, atol=1e-12)
 
 
+@pytest.mark.parametrize("options", [RK4.fixed(0.25), RK4, Integration()])
+def test_uncertain_lines_do_not_depend_on_what_is_traced_along(options):
+    random = np.random.default_rng(2)
+    values = random.normal(size=(1, 5, 9, 9, 3))
+    top = np.array([8.0, 8.0, 4.0])
+    grid = kernel.Grid(values, np.zeros(3), top, np.zeros(3), top, spread=np.abs(values) / 5, run_seed=3)
+    p, keys = random.uniform(size=(60, 3)) * top, np.arange(60)
+
+    def lines(use, sign):
+        row, seq, place, *_ = kernel.trace(grid, p[use], np.zeros(len(use)), np.full(len(use), sign), keys[use], options, 30)
+        return {(int(use[r]), int(n)): tuple(q) for r, n, q in zip(row, seq, place, strict=True)}
+
+    both = {sign: lines(np.arange(60), sign) for sign in (-1.0, 1.0)}
+    for sign in (1.0, -1.0):
+        apart = {}
+        for n in range(0, 60, 7):
+            apart |= lines(np.arange(n, min(n + 7, 60)), sign)
+        assert apart == both[sign] and len(apart) > 200
+
+
 def test_uncertain_field_without_spread_is_deterministic(spark):
     field = rotation(spark)
     sure = field.with_nodes(field.nodes.withColumns({f"s{c}": F.lit(0.0) for c in "uvw"}))

@@ -75,31 +75,47 @@ def _bins(low: list[Column], high: list[Column], size: Column) -> Column:
 def _candidates(points: DataFrame, cells: DataFrame, corners: int, slack: float) -> DataFrame:
     """Pairs of points and cells whose boxes may hold them.  A cell is listed at the level whose bins
     (powers of two) are as large as its box, so in two bins an axis at most, however sizes differ;
-    a point asks its bin at every level that occurs (a few, as many as there are magnitudes of sizes)."""
+    a point asks its bin at every level that occurs (a few, as many as there are magnitudes of sizes).
+    Of a bin's cells only those stay whose own box, wider by the tolerance's share of it, holds the point."""
     low = [F.least(*(f"{p}{n}" for n in range(corners))) - slack for p in _P]
     high = [F.greatest(*(f"{p}{n}" for n in range(corners))) + slack for p in _P]
     wide = F.greatest(*(b - a for a, b in zip(low, high, strict=True)), F.lit(1e-9))
-    leveled = cells.withColumn("__level", F.ceil(F.log2(wide)).cast("int"))
+    near = F.col("__wide") * (4 * slack) + slack
+    leveled = cells.withColumn("__wide", wide).withColumn("__level", F.ceil(F.log2("__wide")).cast("int"))
     levels = sorted(r[0] for r in leveled.select("__level").distinct().collect() if r[0] is not None)
     size = F.pow(F.lit(2.0), F.col("__level"))
-    listed = leveled.withColumn("__b", F.explode(_bins(low, high, size))).select("*", "__b.bx", "__b.by", "__b.bz").drop("__b")
+    boxes = {f"__{s}{p}": x for s, ends in (("low", (a - near for a in low)), ("high", (b + near for b in high))) for p, x in zip(_P, ends, strict=True)}
+    listed = leveled.withColumns(boxes).withColumn("__b", F.explode(_bins(low, high, size))).select("*", "__b.bx", "__b.by", "__b.bz").drop("__b", "__wide")
     placed = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-    return placed.withColumns({f"b{p}": F.floor(F.col(p) / size) for p in _P}).join(listed, ["__level", "bx", "by", "bz"])
+    pairs = placed.withColumns({f"b{p}": F.floor(F.col(p) / size) for p in _P}).join(listed, ["__level", "bx", "by", "bz"])
+    for p in _P:
+        pairs = pairs.where(F.col(p).between(F.col(f"__low{p}"), F.col(f"__high{p}")))
+    return pairs.drop(*boxes)
 
 
-def locate_tets(points: DataFrame, tets: DataFrame, vertices: DataFrame, key: str = "point_id", tolerance: float = 1e-9) -> DataFrame:
-    """Points (key, x, y, z) with tid and natural coordinates (b1, b2, b3); null where no cell holds them."""
-    found = _candidates(points.select(*_P).distinct(), with_corners(tets, vertices), 4, tolerance)
+def _places(points: DataFrame) -> DataFrame:
+    """Each place of ``points`` once, over all cores: a place is a few bytes but meets many cells, so
+    AQE, which goes by bytes, would put all into one task."""
+    return points.select(*_P).repartition(3 * points.sparkSession.sparkContext.defaultParallelism, *_P).distinct()
+
+
+def _holding_tets(points: DataFrame, tets: DataFrame, vertices: DataFrame, tolerance: float) -> DataFrame:
+    """Each place that a cell holds, once, with the cell, its vertices and natural coordinates."""
+    found = _candidates(_places(points), with_corners(tets, vertices), 4, tolerance)
     b = natural_coordinates()
     found = found.withColumns(dict(zip(("b1", "b2", "b3"), b, strict=True)))
     inside = (F.least("b1", "b2", "b3", F.lit(1.0) - F.col("b1") - F.col("b2") - F.col("b3")) >= -tolerance) & F.col("b1").isNotNull()
-    best = found.where(inside).groupBy(*_P).agg(F.min(F.struct("tid", "b1", "b2", "b3", "v0", "v1", "v2", "v3")).alias("c")).select(*_P, "c.*")
-    return at_places(points, list(_P), best)
+    return found.where(inside).groupBy(*_P).agg(F.min(F.struct("tid", "b1", "b2", "b3", "v0", "v1", "v2", "v3")).alias("c")).select(*_P, "c.*")
+
+
+def locate_tets(points: DataFrame, tets: DataFrame, vertices: DataFrame, key: str = "point_id", tolerance: float = 1e-9) -> DataFrame:
+    """Points (key, x, y, z) with tid and natural coordinates (b1, b2, b3); null where no cell holds them."""
+    return at_places(points, list(_P), _holding_tets(points, tets, vertices, tolerance))
 
 
 def sample_tets(points: DataFrame, tets: DataFrame, vertices: DataFrame, values: DataFrame, key: str = "point_id") -> DataFrame:
     """Points with (u, v, w) of the barycentric blend of ``values`` (vid, u, v, w); ``key`` may repeat."""
-    at = locate_tets(points.select(*_P).distinct(), tets, vertices, key).where("tid IS NOT NULL")
+    at = _holding_tets(points, tets, vertices, 1e-9)
     weights = F.array(*(F.struct(F.col(f"v{n}").alias("vid"), (F.lit(1.0) - F.col("b1") - F.col("b2") - F.col("b3") if n == 0 else F.col(f"b{n}")).alias("weight")) for n in range(4)))
     parts = at.select(*_P, F.explode(weights).alias("p")).select(*_P, "p.vid", "p.weight").join(values, "vid")
     sums = parts.groupBy(*_P).agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("u", "v", "w")))
@@ -148,7 +164,7 @@ def inverse_map(corners: np.ndarray, points: np.ndarray, rounds: int = 20) -> tu
 
 def locate_hexes(points: DataFrame, vertices: DataFrame, dims: tuple[int, int, int], key: str = "point_id", tolerance: float = 1e-9) -> DataFrame:
     """Points with cell, (ci, cj, ck) and local coordinates (a, b, c) on a curvilinear grid; null outside."""
-    found = _candidates(points.select(*_P).distinct(), hex_cells(vertices, dims), 8, tolerance)
+    found = _candidates(_places(points), hex_cells(vertices, dims), 8, tolerance)
     names = [f"{p}{n}" for n in range(8) for p in _P]
 
     def run(parts):

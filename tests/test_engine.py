@@ -270,6 +270,20 @@ def test_blocks_hold_a_bounded_number_of_points(spark, monkeypatch):
     assert sorted(rows(few, *names)) == expected and len(expected) > 1000
 
 
+def test_points_meet_only_cells_whose_boxes_hold_them(spark):
+    from streamweft.queries import cube_mesh
+
+    vertices, tets = cube_mesh(spark)
+    inner = [(0.3 + n % 3, 0.6 + n // 3 % 3, 0.2 + n // 9) for n in range(27)]
+    edge = [(3 + 0.9e-9, 1.4, 1.3), (1.0, 1.0, 1.0), (-0.5e-9, 0.0, 0.0)]
+    places = spark.createDataFrame([*inner, *edge, inner[0], (9.0, 1.0, 1.0)], "x double, y double, z double")
+    assert mesh._places(places).count() == 31
+    pairs = mesh._candidates(mesh._places(places), mesh.with_corners(tets, vertices), 4, 1e-9)
+    assert {r["count"] for r in pairs.where("x < 3 AND x > 0 AND x <> 1").groupBy("x", "y", "z").count().collect()} == {6}
+    got = mesh.locate_tets(places.withColumn("point_id", F.monotonically_increasing_id()), tets, vertices)
+    assert got.count() == 32 and rows(got.where("tid IS NULL"), "x") == [(9.0,)]
+
+
 def test_merged_lines_are_traced_once_and_joined_in_their_task(spark):
     field = rotation(spark, 9, 5)
     seeds = seeds_of(spark, [(6, 4, 2), (4, 4, 2), (7.5, 4, 1), (20, 4, 2), (1, 1, 1)])  # the second at rest, the fourth outside
